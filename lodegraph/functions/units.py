@@ -164,4 +164,4 @@ def to_common(value: Decimal, unit: Unit) -> int:
 
 _ALTERNATION = "|".join(sorted({re.escape(unicodedata.normalize("NFKC", x)).replace(r"\ ", r"[\s>]+") for x in _RAW}, key=len, reverse=True))
 #: A number and the unit after it in running text; words that make it a test condition follow as ``tail``.
-MEASURE = re.compile(rf"(?<![A-Za-z0-9.])(?<!\d,)(?<![A-Za-z]-)(?P<num>\d+(?:[.,]\d+)*)(?:[\s>]*(?P<unit>{_ALTERNATION})(?![A-Za-z0-9]))?(?P<tail>.{{0,12}})", re.S)
+MEASURE = re.compile(rf"(?<![A-Za-z0-9.])(?<!\d,)(?<![A-Za-z]-)(?P<num>\d+(?:[.,]\d+)*)(?:[\s>]*(?P<unit>{_ALTERNATION})(?![A-Za-z0-9]))?(?=(?P<tail>.{{0,12}}))", re.S)
