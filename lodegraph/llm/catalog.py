@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import encoding, leaks, lookalikes, markup, pieces
+from lodegraph.llm import answers, cutoffs, encoding, leaks, lookalikes, markup, neardup, pieces
 from lodegraph.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return answers.found_defects(table(spark, folder, "qa_items"))
+
+
+def p1_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every defect type that each defective answer triggers."""
+    rows = answers.defects(table(spark, folder, "qa_items"))
+    return rows.select("qid", F.explode("defects").alias("defect"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.found_pairs(table(spark, folder, "qa_items"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item with its group and its number of links."""
+    return neardup.groups(table(spark, folder, "qa_items"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.found_terms(table(spark, folder, "nodes"), table(spark, folder, "canonical_terms"))
 
@@ -53,7 +72,21 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cutoffs.found_cut(table(spark, folder, "documents"))
+
+
+def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return cutoffs.by_source(table(spark, folder, "documents"))
+
+
+def p10_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The storage limits that the lengths of unfinished texts expose."""
+    return cutoffs.hidden_limits(cutoffs.inspected(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_groups, p3_found, p3_forms, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)}
 
 #: The parts of these problems that SQL can state over the same tables.
 SQL = {
