@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import answers, cutoffs, encoding, leaks, lookalikes, markup, neardup, pieces
+from lodegraph.llm import answers, cutoffs, encoding, leaks, lookalikes, markup, neardup, pieces, scans
 from lodegraph.sources.tables import table
 
 
@@ -37,6 +37,15 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.consistent_nodes(table(spark, folder, "nodes"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found_noise(table(spark, folder, "evidence_blocks"), table(spark, folder, "papers"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text block, repaired into continuous paragraphs."""
+    return scans.repaired(table(spark, folder, "evidence_blocks"), table(spark, folder, "papers"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.found_cuts(table(spark, folder, "evidence_blocks"))
 
@@ -86,7 +95,7 @@ def p10_limits(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.hidden_limits(cutoffs.inspected(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_groups, p3_found, p3_forms, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_text, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)}
 
 #: The parts of these problems that SQL can state over the same tables.
 SQL = {
