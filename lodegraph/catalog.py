@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import training
+from lodegraph.plans import evidence, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**evidence.QUERIES, **training.QUERIES}
+SQL = {**evidence.SQL, **training.SQL}

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
+from lodegraph.session import cut_lineage
 
 # Level of each node type, and the edge types that lead down.
 LEVELS = {"PaperNode": 0, "TitleNode": 1, "SectionNode": 2, "ChunkNode": 3, "ClaimNode": 4, "MethodNode": 4, "ConceptNode": 4, "AttributeNode": 5, "ConditionNode": 6, "FigureNode": 6, "TableNode": 6, "EquationNode": 6, "ValueNode": 7, "CaptionNode": 7, "EvidenceNode": 7, "UnitNode": 8}
@@ -146,8 +147,8 @@ def downward_walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth:
     """(start, node, depth, place): the evidence chain below each start, at most ``limit`` nodes, nearest first."""
     n = unique_nodes(nodes).select("node_id", level("node_type").alias("level"))
     steps = present_edges(edges, nodes).select("source", "target", "edge_type", "edge_ord").join(n.select(F.col("node_id").alias("source"), F.col("level").alias("ls")), "source").join(n.select(F.col("node_id").alias("target"), F.col("level").alias("lt")), "target")
-    steps = steps.where(F.col("edge_type").isin(DOWNWARD) | (F.col("lt") >= F.col("ls"))).select("source", "target", "edge_ord")
-    first = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("place"))
+    steps = cut_lineage(steps.where(F.col("edge_type").isin(DOWNWARD) | (F.col("lt") >= F.col("ls"))).select("source", "target", "edge_ord"))
+    first = cut_lineage(starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("place")))
     reached, frontier = first, first
     for d in range(1, depth + 1):
         grown = frontier.join(steps, frontier["node"] == steps["source"]).select("start", F.col("target").alias("node"), F.col("place").alias("parent"), "edge_ord")
@@ -155,7 +156,7 @@ def downward_walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth:
         once = fresh.groupBy("start", "node").agg(F.min(F.struct("parent", "edge_ord")).alias("at"))
         counted = reached.groupBy("start").agg(F.max("place").alias("before"))
         w = Window.partitionBy("start").orderBy("at", "node")
-        frontier = once.withColumn("r", F.row_number().over(w)).where(F.col("r") < limit).join(counted, "start").select("start", "node", F.lit(d).alias("depth"), (F.col("before") + F.col("r")).alias("place")).where(F.col("place") <= limit)
+        frontier = cut_lineage(once.withColumn("r", F.row_number().over(w)).where(F.col("r") < limit).join(counted, "start").select("start", "node", F.lit(d).alias("depth"), (F.col("before") + F.col("r")).alias("place")).where(F.col("place") <= limit))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -170,6 +171,7 @@ def upward_locate(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: i
 
 def _greedy(rows: DataFrame, steps: DataFrame, here: str, there: str, hops: int) -> DataFrame:
     """Extends each chain ``hops`` times by the first step to a node it doesn't hold yet."""
+    steps = cut_lineage(steps)
     for _ in range(hops):
         live = rows.where("alive")
         best = (
@@ -179,7 +181,7 @@ def _greedy(rows: DataFrame, steps: DataFrame, here: str, there: str, hops: int)
             .groupBy("start")
             .agg(F.min_by(there, F.struct(*[c for c in steps.columns if c not in (here, there)], there)).alias("next"))
         )
-        rows = rows.join(best, "start", "left").select("start", F.when(F.col("next").isNotNull(), F.concat("chain", F.array("next"))).otherwise(F.col("chain")).alias("chain"), F.col("next").isNotNull().alias("alive"))
+        rows = cut_lineage(rows.join(best, "start", "left").select("start", F.when(F.col("next").isNotNull(), F.concat("chain", F.array("next"))).otherwise(F.col("chain")).alias("chain"), F.col("next").isNotNull().alias("alive")))
     return rows.select("start", "chain")
 
 
@@ -209,7 +211,8 @@ def backing_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, hops: in
     Each side walks half of the way; a side's frontier keeps its first ``frontier`` nodes per source, as
     the bounded search that this replaces does.
     """
-    near = adjacency(edges, nodes).select("node", "neighbour", "side", "place")
+    near = cut_lineage(adjacency(edges, nodes).select("node", "neighbour", "side", "place"))
+    pairs = cut_lineage(pairs.select("source", "target").distinct())
 
     def half(start: str, k: int) -> DataFrame:
         rows = pairs.select(F.col(start).alias("s")).distinct().select("s", F.col("s").alias("at"), F.array("s").alias("path"), F.array().cast("array<struct<side:int,place:bigint>>").alias("key"))
@@ -217,7 +220,7 @@ def backing_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, hops: in
         for _ in range(k):
             grown = rows.join(near, rows["at"] == near["node"]).where(~F.array_contains("path", F.col("neighbour"))).select("s", F.col("neighbour").alias("at"), F.concat("path", F.array("neighbour")).alias("path"), F.concat("key", F.array(F.struct(F.col("side"), F.col("place")))).alias("key"))
             w = Window.partitionBy("s").orderBy("key", "at")
-            rows = grown.groupBy("s", "at").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= frontier).drop("r")
+            rows = cut_lineage(grown.groupBy("s", "at").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= frontier).drop("r"))
             every = every.unionByName(rows)
         return every.groupBy("s", "at").agg(F.min_by(F.struct("path", "key"), F.struct(F.size("key"), "key")).alias("best")).select("s", "at", "best.path", "best.key")
 

@@ -42,7 +42,7 @@ def violations_by(qa: DataFrame) -> DataFrame:
 
 def grounding(qa: DataFrame) -> DataFrame:
     rows = Q.items(qa)
-    return rows.agg(F.avg(F.size(F.coalesce("evidence_spans", F.array().cast("array<struct<node_id:string>>")))).alias("avg_spans"), F.sum((F.size(F.array_distinct("paper_id_list")) > 1).cast("bigint")).alias("cross_paper"))
+    return rows.agg(F.avg(F.greatest(F.lit(0), F.coalesce(F.size("evidence_spans"), F.lit(0)))).alias("avg_spans"), F.sum((F.size(F.array_distinct("paper_id_list")) > 1).cast("bigint")).alias("cross_paper"))
 
 
 def multi_hop_authenticity(qa: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def plan_quality(qa: DataFrame) -> DataFrame:
 
 def delays(rows: DataFrame, kind: str) -> DataFrame:
     """(kind, n, total, average, least, most) of the hours between making and arrival."""
-    hours = (F.unix_micros("ingested_at") - F.unix_micros("created_at")) / 3_600_000_000
+    hours = (F.unix_micros(F.col("ingested_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 3_600_000_000
     return rows.groupBy(kind).agg(F.count("*").alias("n"), F.sum(hours).alias("total"), F.avg(hours).alias("average"), F.min(hours).alias("least"), F.max(hours).alias("most"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
 from lodegraph.operators.graph import chunk_mates, degrees, downward_walk, gate, present_edges, upward_locate
+from lodegraph.session import cut_lineage
 
 LIMIT = 120
 # Seed weights by node type.
@@ -200,10 +201,11 @@ PLAN = "seed string, seed_place int, roles string, nodes array<string>, difficul
 
 def plan(nodes: DataFrame, edges: DataFrame, kind: str, per_type: int = 12, tau: float = 0.0, max_expand: int = 12, history: DataFrame | None = None, score_guided: bool = True) -> DataFrame:
     """(plan_id, seed, roles, nodes, difficulty, utility and parts): the first ``per_type`` plans that pass."""
-    seeds = ranked_seeds(nodes, edges, kind, 4 * per_type, history)
+    seeds = cut_lineage(ranked_seeds(nodes, edges, kind, 4 * per_type, history))
     facts = gate(nodes).select(F.col("node_id").alias("node"), "node_type", "ok", R.either("normalized_content", "content").alias("name"), F.coalesce("address.chunk_id", F.lit("")).alias("chunk"), F.coalesce("address.span", F.lit("")).alias("span"), F.coalesce("address.section_path", F.lit("")).alias("section"), F.coalesce("address.paper_id", F.lit("")).alias("paper"))
     own = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node"), F.lit(0).alias("r"))
     rows = candidates(nodes, edges, seeds).where("seed != node").select("seed", "node", "r").unionByName(own).join(facts, "node").join(seeds.select(F.col("node_id").alias("seed"), "place"), "seed")
+    rows = cut_lineage(rows)
     inner = present_edges(edges, nodes).select(F.col("source").alias("node"), "target")
     near = rows.select("seed", "node").join(inner, "node").join(rows.select("seed", F.col("node").alias("target")), ["seed", "target"], "left_semi").groupBy("seed", "node").agg(F.collect_set("target").alias("targets"))
     rows = rows.join(near, ["seed", "node"], "left")

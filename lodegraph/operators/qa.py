@@ -31,7 +31,7 @@ def items(qa: DataFrame) -> DataFrame:
 
 
 def evidence_text() -> Column:
-    return F.array_join(F.transform(F.coalesce("evidence_spans", F.array().cast("array<struct<node_id:string,content:string>>")), lambda s: F.coalesce(s["content"], F.lit(""))), " ")
+    return F.coalesce(F.array_join(F.transform("evidence_spans", lambda s: F.coalesce(s["content"], F.lit(""))), " "), F.lit(""))
 
 
 def conditions() -> Column:
@@ -46,7 +46,7 @@ def choice(key: Column | str, operation: str, n: int, seed: int = SEED) -> Colum
 
 def filter_reasons(qa: DataFrame) -> DataFrame:
     """(qid, reason): why each item is kept or dropped."""
-    names = F.transform(F.coalesce("evidence_spans", F.array().cast("array<struct<node_id:string,content:string>>")), lambda s: F.coalesce(s["content"], F.lit("")))
+    names = F.transform("evidence_spans", lambda s: F.coalesce(s["content"], F.lit("")))
     return items(qa).select("qid", R.qa_reason("question", "answer", "question_type", names).alias("reason"))
 
 
@@ -95,7 +95,7 @@ def check_condition(qa: DataFrame) -> DataFrame:
 def check_evidence(qa: DataFrame) -> DataFrame:
     """Items that cite nothing, or share no word with what they cite."""
     rows = _checked(qa)
-    none = (F.size(F.coalesce("source_nodes", F.array().cast("array<string>"))) == 0) & (F.size(F.coalesce("evidence_spans", F.array().cast("array<struct<node_id:string>>"))) == 0)
+    none = (F.coalesce(F.size("source_nodes"), F.lit(0)) <= 0) & (F.coalesce(F.size("evidence_spans"), F.lit(0)) <= 0)
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([0-9a-zA-Z一-鿿]{2,})"), F.lit(1)))
     said, known = words(F.col("answer")), words(F.col("evidence"))
     apart = ~none & (F.size(said) > 0) & ~F.arrays_overlap(said, known)
@@ -131,7 +131,7 @@ def replace_first(whole: Column, part: Column, by: Column) -> Column:
 
 def show_number(x: Column) -> Column:
     """A number as an integer if it is one, else with three significant digits."""
-    digits = F.greatest(F.lit(0), F.lit(2) - F.floor(F.log10(F.abs(x))).cast("int"))
+    digits = F.greatest(F.lit(0), F.lit(2) - F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-9)))).cast("int"))
     plain = F.when(digits == 0, F.format_string("%.0f", x)).when(digits == 1, F.format_string("%.1f", x)).when(digits == 2, F.format_string("%.2f", x)).when(digits == 3, F.format_string("%.3f", x)).otherwise(F.format_string("%.4f", x))
     return F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
 
