@@ -141,7 +141,7 @@ def _pick(options: list[str], key: str, operation: str) -> Column:
 
 
 def wrong_number() -> Column:
-    found = F.filter(R.numbers("answer"), lambda n: n.try_cast("double").isNotNull())
+    found = F.filter(R.numbers("answer"), lambda n: F.abs(n.try_cast("double")) < 1e15)
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("qid"), F.lit("which"))), 1, 8), 16, 10).cast("bigint")
     target = F.get(found, (h % F.greatest(F.size(found), F.lit(1))).cast("int"))
     new = show_number(target.cast("double") * F.element_at(F.array(*map(F.lit, FACTORS)), choice("qid", "factor", len(FACTORS)) + 1))
@@ -163,7 +163,7 @@ def over_generalisation() -> Column:
 def boundary_violation() -> Column:
     first = F.get(conditions(), F.lit(0))
     target = F.get(R.numbers(first), F.lit(0))
-    grown = target.try_cast("double") * 3
+    grown = F.when(F.abs(target.try_cast("double")) < 1e15, target.try_cast("double") * 3)
     new = replace_first(first, target, F.when(grown == F.floor(grown), F.concat(F.format_string("%.0f", grown), F.lit(".0"))).otherwise(grown.cast("string")))
     return F.when(grown.isNotNull(), F.when(F.contains(F.col("answer"), first), replace_first(F.col("answer"), first, new)).otherwise(F.concat("answer", F.lit(" (condition changed to "), new, F.lit(")"))))
 
@@ -201,7 +201,7 @@ def corrupt(qa: DataFrame, concepts: DataFrame | None = None, per_item: int = 2)
     rows = items(qa).withColumn("answer", F.coalesce("answer", F.lit("")))
     made = F.array(*[F.struct(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("qid"), F.lit(name))).alias("at"), F.lit(name).alias("error"), f().alias("answer")) for name, f in CORRUPTORS.items()])
     kept = F.slice(F.array_sort(F.filter(made, lambda m: m["answer"].isNotNull())), 1, per_item)
-    has_number = F.size(F.filter(R.numbers("answer"), lambda n: n.try_cast("double").isNotNull())) > 0
+    has_number = F.size(F.filter(R.numbers("answer"), lambda n: F.abs(n.try_cast("double")) < 1e15)) > 0
     out = rows.withColumn("numbered", has_number).select("qid", "numbered", F.explode(kept).alias("m"))
     kind = F.when((F.col("m.error") == "table_misread") & F.col("numbered"), "wrong_number").otherwise(F.col("m.error"))
     out = out.select(F.concat("qid", F.lit("__"), F.col("m.error")).alias("qid"), F.col("qid").alias("source_qid"), kind.alias("error_type"), F.col("m.answer").alias("answer"))
