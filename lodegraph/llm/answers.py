@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import endings as E
+from lodegraph.session import cut_lineage
 
 ORDER = ["empty_answer", "refusal", "copied_question", "wrong_language", "truncated_answer"]
 
@@ -234,6 +235,7 @@ def defects(items: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["qid", "found", "state", "language", "opener", "tail", "kind", "closer"])
 
     rows = base.mapInPandas(run, "qid string, found string, state string, language string, opener string, tail string, kind string, closer string").dropDuplicates(["qid"])
+    rows = cut_lineage(rows)  # read twice below
     sure = rows.where("state != 'ask' or closer is null").select("qid", "found", (F.col("state") == "yes").alias("cut"))
     asked = with_judgement(rows.where("state = 'ask' and closer is not null"), counts).select("qid", "found", "cut")
     every = F.array_compact(F.array_append(F.filter(F.split("found", r"\|"), lambda x: x != ""), F.when(F.col("cut"), F.lit("truncated_answer"))))

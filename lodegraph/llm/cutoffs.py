@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import endings as E
 from lodegraph.llm.answers import sentence_counts, with_judgement
+from lodegraph.session import cut_lineage
 
 MIN_WORDS = 6
 #: A length is a hidden limit of a source if so many unfinished texts have it and they are this share of all texts that have it.
@@ -113,7 +114,7 @@ def hidden_limits(rows: DataFrame) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut, at_limit) of every document."""
-    rows = inspected(documents)
+    rows = cut_lineage(inspected(documents))  # read three times below; the texts only once
     counts = sentence_counts(documents.where("text is not null"), "text")
     limits = hidden_limits(rows).select("source", F.concat_ws(":", "encoding", "length").alias("l"))
     open_rows = rows.where("state in ('cut', 'ask')")
