@@ -26,7 +26,7 @@ _HAN = re.compile(r"[㐀-鿿]")
 _STOP = re.compile(r"(?<=[.!?])[\"'”’)\]]*(?=\s|$)|(?<=[。！？])[”’）」]*|\n+")
 _MARK = re.compile(r"(?:\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|…+|\.{3,}|。{3,}|�+))+\s*$")
 _CLOSED = re.compile(r"[.!?。！？][\"'”’）)\]」]*$")
-_ABBREVIATED = re.compile(r"(?:^|[\s(])(?:Fig|Figs|Eq|Eqs|Tab|No|Vol|vs|ca|cf|e\.g|i\.e|al|Abb|Nr|z\.B)\.$|(?:^|\s)\d+\.$")
+_ABBREVIATED = re.compile(r"(?:^|[\s(])(?:Fig|Figs|Eq|Eqs|Tab|No|Vol|vs|ca|cf|e\.g|i\.e|al|Abb|Nr|z\.B)\.$|\s(?:at|of|to|reaches|by|bei|mit|etwa|auf|vaut|atteint|à)\s\d+\.$")
 
 
 class Frame(NamedTuple):

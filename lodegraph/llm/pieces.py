@@ -113,6 +113,7 @@ def found_cuts(blocks: DataFrame) -> DataFrame:
 
 def addressed_pieces(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces as blocks of their own, with "start-end" in address.span."""
-    address = oversized(blocks, limit).select("block_id", "address")
+    empty = F.from_json(F.lit("{}"), blocks.schema["address"].dataType)  # a block without an address still gets its pieces' places
+    address = oversized(blocks, limit).select("block_id", F.coalesce("address", empty).alias("address"))
     pieces = cut_blocks(blocks, limit, overlap)
     return pieces.join(address, "block_id").withColumn("address", F.col("address").withField("span", F.concat_ws("-", "start", "end")))
