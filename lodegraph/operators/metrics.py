@@ -73,8 +73,8 @@ def average_rank(rows: DataFrame, by: list[str], value: str, out: str) -> DataFr
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n, rho): null for fewer than three rows or without variance."""
     ranked = average_rank(average_rank(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "__x"), by, y, "__y")
-    flat = (F.min("__x") == F.max("__x")) | (F.min("__y") == F.max("__y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~flat, F.corr("__x", "__y")).alias("rho"))
+    rho = F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, rho).alias("rho"))
 
 
 def monotonic(rows: DataFrame, level: str, value: str) -> DataFrame:
