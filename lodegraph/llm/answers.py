@@ -213,6 +213,7 @@ def sentence_counts(texts: DataFrame, column: str) -> DataFrame:
 
 def with_judgement(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``cut`` to rows that have the columns of a frame (null frames give null)."""
+    counts = cut_lineage(counts)  # grouped three ways below
     closers = counts.groupBy("language", "closer").agg(F.sum("n").alias("closer_n"))
     openers = counts.groupBy("language", "opener").agg(F.sum("n").alias("opener_n"))
     frames = counts.groupBy("language", "opener", "tail", "kind").agg(F.sum("n").alias("frame_n"))
