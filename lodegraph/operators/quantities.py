@@ -36,6 +36,8 @@ MAX_LABELS = 5_000
 #: Readings travel as one string, "key US unit US rank" joined by RS: far cheaper between the JVM and Python than arrays of structs.
 US, RS = "\x1f", "\x1e"
 _TAIL_BAD = re.compile(r"\s*(?:-?\s*minute soak|soak|bias|preload|percent|偏压|次)|[\s>]*K?\s+under\b", re.I)
+#: Units that the machine-made list also takes from the first letters of the next word.
+_TAKEN = set("K m g A V W J s h mm cm nm mg kg min mol Pa".split())
 _ROW = re.compile(r"<tr[^>]*>(.*?)</tr>", re.S | re.I)
 _CELL = re.compile(r"<t[hd][^>]*>(.*?)</t[hd]>", re.S | re.I)
 
@@ -75,7 +77,7 @@ def read_text(text: str, extra: str | None) -> list[tuple[str, str | None, int]]
         if not value or named is None:
             continue
         key = number_key(value)
-        if key in bare and not bare[key].lstrip().lower().startswith(named.lower()):
+        if key in bare and not (named in _TAKEN and bare[key].lstrip().startswith(named)):
             out.append((key, named, 1))
     return out
 
