@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +40,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: survives a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they can import it already; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    name = __name__.partition(".")[0]
+
+    def missing(_):
+        import importlib.util
+
+        return [importlib.util.find_spec(name) is None]
+
+    missing.__module__ = "__main__"  # pickled by value: the workers may not have this module
+    tasks = max(1, context.defaultParallelism)
+    if any(context.parallelize(range(tasks), tasks).mapPartitions(missing).collect()):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix=f"{name}-")
+        context.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
