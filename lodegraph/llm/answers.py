@@ -190,7 +190,7 @@ def features(question: str | None, answer: str | None, evidence: list[str]) -> t
     early = stops_early(answer, evidence)
     if early is not None:
         return defects, "yes" if early else "no", None
-    if E.goes_on_elsewhere(end.last, "\n".join([question or "", *evidence, answer])):
+    if E.hardly_begun(end.last, answer) or E.goes_on_elsewhere(end.last, "\n".join([question or "", *evidence, answer])):
         return defects, "yes", None
     return defects, "ask", end.frame
 

@@ -84,7 +84,7 @@ def inspect(text: str | None) -> tuple[str, E.Frame | None]:
             return "complete", None
     if len(text) != len(text.rstrip()) and re.search(r"[ \t]{2,}$", text) and len(_WORDS.findall(text)) < 12:
         return "odd", None
-    if E.goes_on_elsewhere(end.last, text):
+    if E.hardly_begun(end.last, text) or E.goes_on_elsewhere(end.last, text):
         return "cut", None
     return "ask", end.frame
 

@@ -52,6 +52,8 @@ def _kind(token: str, before: str | None) -> tuple[str, str]:
         if m := re.fullmatch(r"([^\W\d_]{3,})-(\d{1,3})", token):
             return "name-#", "name-#"
         return "id", f"id:{'-' if '-' in token else ''}{min(len(token), 16)}"
+    if len(token) == 1 and token.isupper():
+        return "letter", f"letter:{token}"
     if token[0].isupper() and not token.isupper():
         return "name", "name"
     if token.isupper() and len(token) > 1:
@@ -124,6 +126,16 @@ def ending(text: str | None) -> Ending:
     return Ending("marked" if marked else "open", last, frame(last))
 
 
+def hardly_begun(last: str, text: str) -> bool:
+    """Whether an open last sentence is one or two words (or two characters of Han) after a finished sentence in the same line."""
+    core = _MARK.sub("", text.strip()).rstrip()
+    before = core[: len(core) - len(last)].rsplit("\n", 1)[-1].rstrip()
+    if not before or not core.endswith(last) or not _CLOSED.search(before):
+        return False
+    han = _HAN.findall(last)
+    return len(last) <= 2 if han else len(_TOKEN.findall(last)) <= 2
+
+
 _ALNUM = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 
 

@@ -304,3 +304,8 @@ def test_hidden_limits(spark):
 def test_abbreviations_do_not_end_a_sentence():
     assert endings.ending("It is shown in Fig.").state == "open"
     assert endings.ending("It is held at 300 K.").state == "closed"
+
+
+@pytest.mark.parametrize("last,text,want", [("Panel", "It is held. Panel", True), ("Nach 66", "Es hält. Nach 66", True), ("Panel", "Panel", False), ("Seam", "It is held.\nSeam", False), ("It is held at 5 K", "One. It is held at 5 K", False), ("批次", "结束。批次", True)])
+def test_hardly_begun(last, text, want):
+    assert endings.hardly_begun(last, text) is want
