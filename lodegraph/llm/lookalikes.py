@@ -88,7 +88,7 @@ def with_form(df: DataFrame, column: str, out: str = "one_form") -> DataFrame:
     def form(texts: pd.Series) -> pd.Series:
         return texts.map(one_form, na_action="ignore")
 
-    plain = F.col(column).rlike(r"^[\x21-\x7e]+( [\x21-\x7e]+)*$")
+    plain = F.coalesce(F.col(column).rlike(r"^[\x21-\x7e]+( [\x21-\x7e]+)*$"), F.lit(False))  # else a null is in neither part
     odd = df.where(~plain).withColumn(out, form(F.col(column)))
     return df.where(plain).withColumn(out, F.col(column)).unionByName(odd)
 

@@ -141,6 +141,11 @@ def test_terms(spark):
     assert {tuple(r) for r in lookalikes.found_terms(n, t).collect()} == {("a", 1), ("c", 1)}
 
 
+def test_every_node_has_a_row(spark):
+    n = spark.createDataFrame([("a", "T", "Keldoon 3"), ("b", "T", "сuring"), ("c", "T", None), ("d", "T", ""), ("c", "T", None)], "node_id string, node_type string, content string")
+    assert {tuple(r) for r in lookalikes.consistent_nodes(n).collect()} == {("a", "Keldoon 3", "T:keldoon_3"), ("b", "curing", "T:curing"), ("c", None, "T:x"), ("d", None, "T:x")}
+
+
 # ---- 4: scans --------------------------------------------------------------------------------------------------
 
 
