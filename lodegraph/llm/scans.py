@@ -2,11 +2,12 @@
 
 Running headers (lines that show the paper's title, venue or authors) and page numbers are taken
 out, then the lines are joined into one character stream. Around every token that the corpus's
-vocabulary doesn't know, the stream is decoded as a whole: a Viterbi search over segmentations in
-which a piece may be a known word, a known word seen through misread letters, two words run together
-or one word torn apart, each at a cost; a hyphen at a line end is dropped if the joined word is
-likelier than the compound. Paragraph boundaries are chosen over all line ends by dynamic
-programming.
+vocabulary doesn't know and every hyphen at a line end, the stream is decoded with the known words
+next to it: a Viterbi search over segmentations in which a piece may be a known word, a known word
+seen through misread letters, two words run together or one word torn apart, each at a cost; a
+hyphen at a line end is dropped if the joined word is likelier than the compound. Markup is
+held back and put in again unchanged. Paragraph boundaries are chosen over all line ends
+by dynamic programming.
 
 The vocabulary holds words that at least SHARE of all blocks contain, so it has at most
 (words per block) / SHARE entries, whatever the size of the data.
@@ -24,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +52,9 @@ _DIGITS = set("015689")
 
 _MARKUP = re.compile(r"<[^<>\n]*>|&#?\w+;|\\[A-Za-z]+\*?|\$[^$\n]*\$|\\\([^)\n]*\\\)|\{\{[^{}]*\}\}|\]\([^)\n]*\)|`[^`\n]*`|\[\[(?:[^\[\]|]*\|)?|https?://\S+|\{[^{}\n]*\}")
 _CODE = re.compile(r"```.*?(?:```|\Z)|<pre>.*?(?:</pre>|\Z)|\\begin\{(?:equation|align)\*?\}.*?\\end\{(?:equation|align)\*?\}|\$\$.*?\$\$", re.S)
+#: Code, formulas and markup are held back while the text around them is read.
+_MASKED = re.compile(f"{_CODE.pattern}|{_MARKUP.pattern}|[\ue000\ue001]", re.S)
+_HELD = re.compile("\ue000(\\d+)\ue001")
 _WORD = re.compile(r"[a-z]{2,}(?:-[a-z]{2,})*")
 _PAGE = re.compile(r"^[\W_]*(?:(?:page|pag\.?|pp?\.?|seite|s\.|第)\s*)?(?P<n>\d{1,4})\s*(?:(?:of|/|von|sur|de)\s*\d{1,5})?\s*页?[\W_]*$", re.I)
 _PAGE_EDGE = re.compile(r"^(?P<a>\d{1,4})(?:\s{2,}|\s*[|·—–-]\s+|\t)(?P<b>\S.*)$|^(?P<c>.*\S)(?:\s{2,}|\s+[|·—–-]\s*|\t)(?:p\.?\s*)?(?P<d>\d{1,4})$")
@@ -111,7 +116,7 @@ class Vocabulary:
                 self.count[w[1:]] = self.count.get(w[1:], 0) + n
         self.rare = {w: n for w, n in counts.items() if w}
         self.longest = max(map(len, self.count), default=1)
-        self.verdicts: dict[str, tuple[str, int] | None] = {}
+        self.verdicts: dict[str, tuple[tuple[str, int] | None, int]] = {}
 
     def __contains__(self, word: str) -> bool:
         return word in self.count
@@ -119,13 +124,15 @@ class Vocabulary:
     def cost(self, word: str) -> float:
         return math.log(self.blocks + 1) - math.log(min(self.count[word], self.blocks))
 
-    def behind(self, seen: str) -> tuple[str, int] | None:
-        """(word, misread letters) that ``seen`` most likely stands for, or None."""
+    def behind(self, seen: str, most: int = 4) -> tuple[str, int] | None:
+        """(word, misread letters) that ``seen`` most likely stands for with at most ``most`` such letters, or None."""
         if seen in self.verdicts:
-            return self.verdicts[seen]
+            known, tried = self.verdicts[seen]
+            if known or most <= tried:
+                return known if known and known[1] <= most else None
         best, mine = None, self.rare.get(seen, 0) + self.rare.get("^" + seen, 0)
         level = {seen: 0}
-        for changes in range(1, 5):
+        for changes in range(1, most + 1):
             grown: dict[str, int] = {}
             for form, start in level.items():
                 for i in range(start, len(form)):
@@ -140,7 +147,7 @@ class Vocabulary:
             level = grown if len(grown) < 20_000 else {}
         if len(self.verdicts) > 200_000:
             self.verdicts.clear()
-        self.verdicts[seen] = best
+        self.verdicts[seen] = best, most
         return best
 
 
@@ -204,8 +211,8 @@ _LEFT = re.compile(rf"(?P<w>[^\W\d_]+)(?P<m>[{re.escape(_HYPHENS)}])$")
 _RIGHT = re.compile(r"^(?:>\s*)?(?P<w>[^\W\d_]+)")
 
 
-def split_word(left: str, right: str, vocabulary: Vocabulary) -> tuple[str, bool] | None:
-    """(how the two halves go together, whether the mark is no part of the word) at a line end, or None."""
+def split_word(left: str, right: str) -> tuple[str, str, str] | None:
+    """(first half, mark, second half) of what may be one word over a line end, or None."""
     a, b = _LEFT.search(left.rstrip()), _RIGHT.match(right.lstrip())
     if not a or not b:
         return None
@@ -215,24 +222,15 @@ def split_word(left: str, right: str, vocabulary: Vocabulary) -> tuple[str, bool
     rest = right.lstrip()[b.end() :]
     if rest[:1].isdigit() or len(a["w"]) == 1 and a["w"].isupper():
         return None
-    x, y = a["w"].lower(), b["w"].lower()
-    joined, compound = x + y, f"{x}-{y}"
-    if a["m"] in "\u00ad\u00ac":
-        return a["w"] + b["w"], True
-    together, apart = vocabulary.count.get(joined, 0), vocabulary.rare.get(compound, 0)
-    if together or apart:
-        return (a["w"] + b["w"], True) if together >= apart else (f"{a['w']}-{b['w']}", False)
-    if b["w"][0].isupper():
-        return f"{a['w']}-{b['w']}", False
-    if x in vocabulary and y in vocabulary:
-        return f"{a['w']}-{b['w']}", False
-    behind = vocabulary.behind(joined) if x not in vocabulary or y not in vocabulary else None
-    return (behind[0] if behind else a["w"] + b["w"]), True
+    return a["w"], a["m"], b["w"]
 
 
 # ---- decoding --------------------------------------------------------------------------------------------------
 
-CHANGE, JOIN, CUT, UNKNOWN = 3.0, 3.5, 4.5, 16.0
+CHANGE, JOIN, CUT, COMPOUND, UNKNOWN = 3.0, 3.5, 4.5, 9.0, 16.0
+#: Breaks within a stream: a space or line end, a mark at a line end that may belong to the word, one that can't.
+SPACE, MARK, SOFT = " ", "\x1e", "\x1f"
+_BREAKS = re.compile(f"[{SPACE}{MARK}{SOFT}]")
 
 
 def suspicious(token: str, vocabulary: Vocabulary) -> str | None:
@@ -257,72 +255,208 @@ def suspicious(token: str, vocabulary: Vocabulary) -> str | None:
     return word
 
 
-def decode(stream: str, vocabulary: Vocabulary) -> tuple[str, int]:
-    """The likeliest words behind a short character stream: (text, misread letters undone)."""
+class Piece(NamedTuple):
+    """One word of a decoded stream: its place there, its reading, the letters undone and the line marks dropped."""
+
+    start: int
+    end: int
+    shown: str
+    changed: int
+    dropped: bool
+
+
+def _readings(piece: str, capital: bool, whole: bool, room: float, vocabulary: Vocabulary) -> Iterator[tuple[float, str, int, bool]]:
+    """(cost, reading, misread letters, whether a line mark is dropped) of a piece; readings that cost more than ``room`` may be left out."""
+    breaks = _BREAKS.findall(piece)
+    spaces = breaks.count(SPACE)
+    marks = len(breaks) - spaces
+    word = _BREAKS.sub("", piece) if breaks else piece
+    torn = JOIN * spaces
+    if word in vocabulary:
+        yield vocabulary.cost(word) + torn, word, 0, marks > 0
+    elif len(word) > 2 and room - torn >= CHANGE and (found := vocabulary.behind(word, min(4, int((room - torn) / CHANGE)))):
+        yield vocabulary.cost(found[0]) + CHANGE * found[1] + torn, found[0], found[1], marks > 0
+    if breaks == [MARK]:
+        x, y = piece.split(MARK)
+        compound = f"{x}-{y}"
+        if apart := vocabulary.rare.get(compound, 0):
+            yield math.log(vocabulary.blocks + 1) - math.log(min(apart, vocabulary.blocks)), compound, 0, False
+        if x in vocabulary and y in vocabulary:
+            yield min(vocabulary.cost(x) + vocabulary.cost(y) + COMPOUND, UNKNOWN - 1), compound, 0, False
+        elif capital:
+            yield UNKNOWN - 1, compound, 0, False
+    if whole and not spaces:
+        yield UNKNOWN, word, 0, marks > 0
+
+
+def decode(stream: str, vocabulary: Vocabulary, capitals: frozenset[int] = frozenset()) -> tuple[float, list[Piece]]:
+    """(cost, words) of the likeliest reading of a short stream of letters and breaks; ``capitals`` are places of capital letters.
+
+    What the parts between spaces cost by themselves bounds the search: no better reading is lost."""
     n = len(stream)
-    best: list[tuple[float, int, str, int]] = [(0.0, -1, "", 0)] + [(math.inf, -1, "", 0)] * n
-    reach = vocabulary.longest + 4
+    bound, spent = [math.inf] * (n + 1), 0.0
+    if SPACE in stream:
+        for m in re.finditer(f"[^{SPACE}]+", stream):
+            spent += decode(m[0], vocabulary, frozenset(i - m.start() for i in capitals))[0]
+            bound[m.start() + 1 : m.end() + 1] = [spent + 1e-6] * len(m[0])
+    best: list[tuple[float, Piece | None]] = [(0.0, None)] + [(math.inf, None)] * n
+    reach = max(vocabulary.longest + 4, max(map(len, stream.split(SPACE)), default=0))
+    ends = {i for i in range(n) if stream[i] == SPACE} | {n}
     for i in range(n):
         if best[i][0] == math.inf:
             continue
-        if stream[i] == " " and best[i][0] < best[i + 1][0]:
-            best[i + 1] = (best[i][0], i, "", 0)
-        start_cost = best[i][0] + (CUT if i and stream[i - 1] != " " else 0.0)
-        for j in range(i + 1, min(n, i + reach) + 1):
-            if stream[j - 1] == " ":
+        if stream[i] == SPACE and best[i][0] < best[i + 1][0]:
+            best[i + 1] = (best[i][0], Piece(i, i + 1, "", 0, False))
+        if _BREAKS.match(stream[i]):
+            continue
+        start_cost = best[i][0] + (CUT if i and stream[i - 1] != SPACE else 0.0)
+        size = 0
+        for j in range(i + 1, n + 1):
+            if _BREAKS.match(stream[j - 1]):
                 continue
-            piece = stream[i:j]
-            spaces = piece.count(" ")
-            if spaces > 1 or piece[0] == " ":
+            size += 1
+            if size > reach:
                 break
-            word = piece.replace(" ", "")
-            if word in vocabulary:
-                cost, shown, changed = vocabulary.cost(word), word, 0
-            elif len(word) > 2 and (found := vocabulary.behind(word)):
-                cost, shown, changed = vocabulary.cost(found[0]) + CHANGE * found[1], found[0], found[1]
-            elif not spaces and (j == n or stream[j] == " "):
-                cost, shown, changed = UNKNOWN, word, 0
-            else:
-                continue
-            total = start_cost + cost + JOIN * spaces
-            if total < best[j][0] - 1e-9:
-                best[j] = (total, i, shown, changed)
-    words, changed, at = [], 0, n
+            piece = stream[i:j]
+            mark = piece.find(MARK)
+            room = bound[j] - start_cost - (0.0 if j in ends else CUT)
+            if room == math.inf:
+                room = UNKNOWN - start_cost - (0.0 if j in ends else CUT)
+            for cost, shown, changed, dropped in _readings(piece, mark >= 0 and i + mark + 1 in capitals, j in ends, room, vocabulary):
+                if start_cost + cost < best[j][0] - 1e-9:
+                    best[j] = (start_cost + cost, Piece(i, j, shown, changed, dropped))
+    out, at = [], n
     while at > 0:
-        _, back, shown, changes = best[at]
-        if shown:
-            words.append(shown)
-            changed += changes
-        at = back
-    return " ".join(reversed(words)), changed
-
-
-def read_words(text: str, vocabulary: Vocabulary) -> tuple[str, bool]:
-    """The text with misread, torn and merged words repaired, and whether letters were misread."""
-    tokens = text.split(" ")
-    odd = {t: w for t in set(tokens) if (w := suspicious(t, vocabulary))}
-    if not odd:
-        return text, False
-    misread = False
-    out: list[str] = []
-    for token in tokens:
-        word = odd.get(token)
-        if word is None:
-            out.append(token)
+        piece = best[at][1]
+        if piece.shown:
+            out.append(piece)
+        at = piece.start
+    return best[n][0], out[::-1]
+
+
+class Token:
+    """A token of a line, split into what may be decoded and what stands around it."""
+
+    def __init__(self, line: int, at: int, text: str, alone: bool, core: str | None) -> None:
+        self.line, self.at, self.text, self.core = line, at, text, core
+        self.odd = core is not None
+        self.glued = not alone  # markup stands between the token before and this one
+        self.mark = ""  # the line-end mark after the core
+        if core is not None:
+            self.around(text.index(core), text.index(core) + len(core))
+
+    def around(self, start: int, end: int) -> None:
+        self.before, self.core, self.after = self.text[:start], self.text[start:end], self.text[end:]
+
+
+_PARTS = re.compile(r"(?:\s|\ue000\d+\ue001)+|[^\s\ue000]+")
+
+
+def _known(token: Token, vocabulary: Vocabulary) -> bool:
+    word = token.text.strip(_EDGE)
+    if not word or not (word.lower() in vocabulary and (word.islower() or word[1:].islower() or len(word) == 1)):
+        return False
+    token.around(token.text.index(word), token.text.index(word) + len(word))
+    return True
+
+
+def read_words(lines: list[str], vocabulary: Vocabulary, hyphens: bool = True) -> tuple[list[str], set[str]]:
+    """The lines with misread, torn, merged and hyphenated words repaired, and the noise found.
+
+    Around each unknown token and each line-end hyphen, the tokens next to it are decoded with it as one stream."""
+    splits = {i: x for i in range(len(lines) - 1) if hyphens and lines[i].rstrip()[-1:] in _HYPHENS and lines[i].strip() and lines[i + 1].strip() and (x := split_word(lines[i], lines[i + 1]))}
+    texts = [_HELD.sub(" ", x).split() for x in lines]
+    odd = {t: w for t in {t for x in texts for t in x} if (w := suspicious(t, vocabulary))}
+    if not odd and not splits:
+        return lines, set()
+    parts = [_PARTS.findall(x) for x in lines]
+    stream: list[Token | None] = []  # None parts what can't be one word
+    for i, line in enumerate(parts):
+        first = True
+        if not line or not any(x.strip() for x in line):
+            stream.append(None)
+        for k, x in enumerate(line):
+            if x[0].isspace() or x[0] == "\ue000":
+                if not x.isspace():
+                    stream.append(None)
+                continue
+            if first and i - 1 in splits and x == ">":
+                parts[i][k] = ""
+                continue
+            token = Token(i, k, x, True, odd.get(x))
+            if first and i - 1 in splits and stream and stream[-1] is not None and stream[-1].mark:
+                at = x.index(splits[i - 1][2])
+                if x.startswith(">"):
+                    token.text = x = x[at:]
+                    at = 0
+                token.around(at, at + len(splits[i - 1][2]))
+                token.odd = True
+            first = False
+            stream.append(token)
+        last = stream[-1] if stream else None
+        if i in splits and last is not None and last.line == i:
+            x, mark, _ = splits[i]
+            start = len(last.text) - 1 - len(x)
+            if start >= 0 and (last.core is None or last.text[:start] == "" or not last.odd or last.text in odd):
+                last.around(start, start + len(x))
+                last.mark, last.after, last.odd = mark, "", True
+    noise: set[str] = set()
+    wanted = [t is not None and t.odd for t in stream]
+    k = 0
+    while k < len(stream):
+        if not wanted[k]:
+            k += 1
             continue
-        lower = word.lower()
-        shown, changed = decode(lower, vocabulary)
-        if changed and " " not in shown and shown != lower:
-            misread = True
-            if word[0].isupper():
-                shown = shown[0].upper() + shown[1:]
-            out.append(token.replace(word, shown))
-        else:
-            if out and (last := out[-1]).isalpha() and last.islower() and last not in vocabulary and last + lower in vocabulary:
-                out[-1] = last + token  # a torn word
+        first = k
+        if k and stream[k - 1] is not None and not stream[k].before and _known(stream[k - 1], vocabulary) and not stream[k - 1].after:
+            first = k - 1
+        window = stream[first : k + 1]
+        k += 1
+        while k < len(stream) and stream[k] is not None and not window[-1].after and (window[-1].mark or window[-1].odd or wanted[k]):
+            if not (wanted[k] or _known(stream[k], vocabulary)) or (stream[k].before and not window[-1].mark):
+                break
+            window.append(stream[k])
+            k += 1
+        _read_window(window, parts, vocabulary, noise)
+    return ["".join(x).strip() if x else "" for x in parts], noise
+
+
+def _read_window(window: list[Token], parts: list[list[str]], vocabulary: Vocabulary, noise: set[str]) -> None:
+    """Decodes the tokens and writes what differs into the parts of their lines."""
+    raw, starts = "", []
+    for t in window:
+        starts.append(len(raw))
+        raw += t.core + (SPACE if not t.mark else SOFT if t.mark in "\u00ad\u00ac" else MARK)
+    ends = [s + len(t.core) for s, t in zip(starts, window)]
+    raw = raw[: ends[-1]]
+    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in raw)
+    _, pieces = decode(lower, vocabulary, frozenset(i for i, c in enumerate(raw) if c.isupper()))
+    k = 0
+    while k < len(window):
+        own, last = [], k
+        while pieces and pieces[0].start < ends[last]:
+            own.append(pieces.pop(0))
+            while own[-1].end > ends[last]:
+                last += 1
+        words = []
+        for p in own:
+            seen = raw[p.start : p.end]
+            if p.changed:
+                words.append(p.shown[0].upper() + p.shown[1:] if seen[0].isupper() else p.shown)
             else:
-                out.append(token.replace(word, shown) if shown != lower else token)
-    return " ".join(out), misread
+                words.append(_BREAKS.sub(lambda m, p=p: "-" if "-" in p.shown and m[0] == MARK and not p.dropped else "", seen))
+            if p.dropped:
+                noise.add("line_hyphen")
+        if len(own) == 1 and own[0].changed:
+            noise.add("misread_chars")
+        if last > k or len(own) > 1 or own[0].changed:
+            parts[window[k].line][window[k].at] = window[k].before + " ".join(words) + window[last].after
+            for t in window[k + 1 : last + 1]:
+                line = parts[t.line]
+                line[t.at] = ""
+                if t.at and line[t.at - 1].isspace():
+                    line[t.at - 1] = ""
+        k = last + 1
 
 
 def paragraphs(lines: list[str]) -> list[list[str]]:
@@ -376,30 +510,30 @@ def read_block(text: str | None, marks: Marks, vocabulary: Vocabulary, repair: b
             elif line.strip() or not kept or kept[-1] != "\x00":
                 kept.append(line)
         kept = [x for x in kept if x != "\x00"]
-    joined: list[str] = []
     code = bool(_CODE.search(text))
-    for line in kept:
-        if joined and joined[-1].strip() and line.strip() and not code and (together := split_word(joined[-1], line, vocabulary)):
-            whole, case = together
-            if case:
-                noise.add("line_hyphen")
-            left = _LEFT.sub("", joined[-1].rstrip())
-            right = _RIGHT.sub("", line.lstrip(), count=1)
-            joined[-1] = left + whole + right.split(" ", 1)[0]
-            line = right.split(" ", 1)[1] if " " in right else ""
-            if line:
-                joined.append(line)
-        else:
-            joined.append(line)
-    visible = " ".join(_visible("\n".join(joined)).split())
-    _, misread = read_words(visible, vocabulary)
-    if misread:
-        noise.add("misread_chars")
+    held: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        held.append(m[0])
+        return f"\n\ue000{len(held) - 1}\ue001\n" if "\n" in m[0] and _CODE.fullmatch(m[0]) else f"\ue000{len(held) - 1}\ue001"
+
+    lines, found = read_words(_MASKED.sub(hold, "\n".join(kept)).split("\n"), vocabulary, not code)
+    noise |= found
     if not repair:
         return noise, None
     if code:
-        return noise, "\n".join(joined)
-    parts = [read_words(" ".join(g), vocabulary)[0] if misread else " ".join(g) for g in paragraphs(joined)]
+        return noise, "\n".join(kept)
+    parts: list[str] = []
+    prose: list[str] = []
+    for line in [*lines, None]:
+        shown = _HELD.fullmatch(line.strip()) if line is not None else None
+        if line is None or shown and "\n" in held[int(shown[1])] and _CODE.fullmatch(held[int(shown[1])]):
+            parts += [" ".join(g) for g in paragraphs(prose)]
+            prose = []
+            if shown:
+                parts.append(held[int(shown[1])])
+        else:
+            prose.append(_HELD.sub(lambda m: held[int(m[1])], line))
     return noise, "\n\n".join(parts)
 
 

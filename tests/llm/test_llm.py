@@ -167,6 +167,24 @@ def test_repair():
     assert scans.read_block(text, scans.Marks(*MARKS), vocabulary())[1] == "the domain of glass settles near the boundary of the load-bearing glass."
 
 
+@pytest.mark.parametrize(
+    "text,want,noise",
+    [
+        ("such in formation of glass", "such information of glass", set()),
+        ("the micro structure\nof glass", "the microstructure of glass", set()),
+        ("the micro strncture of glass", "the microstructure of glass", {"misread_chars"}),
+        ("the microstructureof glass", "the microstructure of glass", set()),
+        ("in forma-\ntion of glass", "information of glass", {"line_hyphen"}),
+        ("the dor-\nnain of glass", "the domain of glass", {"line_hyphen", "misread_chars"}),
+        ("the micro, structure of glass", "the micro, structure of glass", set()),
+    ],
+)
+def test_torn_words_are_decoded_with_their_neighbours(text, want, noise):
+    words = {"the": 900, "of": 900, "in": 900, "such": 90, "glass": 200, "information": 90, "microstructure": 80, "domain": 90}
+    got, repaired = scans.read_block(text, scans.Marks(*MARKS), scans.Vocabulary({**words, "": 1000}))
+    assert (got, repaired) == (noise, want)
+
+
 def test_scans_of_nothing(spark):
     b = spark.createDataFrame([], "block_id string, modality string, content string, address struct<paper_id:string>")
     p = spark.createDataFrame([], "paper_id string, title string, venue string, authors string")
