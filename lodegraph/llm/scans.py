@@ -5,8 +5,8 @@ out, then the lines are joined into one character stream. Around every token tha
 vocabulary doesn't know and every hyphen at a line end, the stream is decoded with the known words
 next to it: a Viterbi search over segmentations in which a piece may be a known word, a known word
 seen through misread letters, two words run together or one word torn apart, each at a cost; a
-hyphen at a line end is dropped if the joined word is likelier than the compound. Markup is
-held back and put in again unchanged. Paragraph boundaries are chosen over all line ends
+hyphen at a line end is dropped if the joined word is likelier than the compound. Code, formulas and
+markup are held back and put in again unchanged. Paragraph boundaries are chosen over all line ends
 by dynamic programming.
 
 The vocabulary holds words that at least SHARE of all blocks contain, so it has at most
@@ -360,11 +360,11 @@ def _known(token: Token, vocabulary: Vocabulary) -> bool:
     return True
 
 
-def read_words(lines: list[str], vocabulary: Vocabulary, hyphens: bool = True) -> tuple[list[str], set[str]]:
+def read_words(lines: list[str], vocabulary: Vocabulary) -> tuple[list[str], set[str]]:
     """The lines with misread, torn, merged and hyphenated words repaired, and the noise found.
 
     Around each unknown token and each line-end hyphen, the tokens next to it are decoded with it as one stream."""
-    splits = {i: x for i in range(len(lines) - 1) if hyphens and lines[i].rstrip()[-1:] in _HYPHENS and lines[i].strip() and lines[i + 1].strip() and (x := split_word(lines[i], lines[i + 1]))}
+    splits = {i: x for i in range(len(lines) - 1) if lines[i].rstrip()[-1:] in _HYPHENS and lines[i].strip() and lines[i + 1].strip() and (x := split_word(lines[i], lines[i + 1]))}
     texts = [_HELD.sub(" ", x).split() for x in lines]
     odd = {t: w for t in {t for x in texts for t in x} if (w := suspicious(t, vocabulary))}
     if not odd and not splits:
@@ -510,19 +510,16 @@ def read_block(text: str | None, marks: Marks, vocabulary: Vocabulary, repair: b
             elif line.strip() or not kept or kept[-1] != "\x00":
                 kept.append(line)
         kept = [x for x in kept if x != "\x00"]
-    code = bool(_CODE.search(text))
     held: list[str] = []
 
     def hold(m: re.Match) -> str:
         held.append(m[0])
         return f"\n\ue000{len(held) - 1}\ue001\n" if "\n" in m[0] and _CODE.fullmatch(m[0]) else f"\ue000{len(held) - 1}\ue001"
 
-    lines, found = read_words(_MASKED.sub(hold, "\n".join(kept)).split("\n"), vocabulary, not code)
+    lines, found = read_words(_MASKED.sub(hold, "\n".join(kept)).split("\n"), vocabulary)
     noise |= found
     if not repair:
         return noise, None
-    if code:
-        return noise, "\n".join(kept)
     parts: list[str] = []
     prose: list[str] = []
     for line in [*lines, None]:

@@ -185,6 +185,15 @@ def test_torn_words_are_decoded_with_their_neighbours(text, want, noise):
     assert (got, repaired) == (noise, want)
 
 
+@pytest.mark.parametrize("code", ["```\nx-\ny = g1ass\n```", "<pre>x-\ny</pre>", "$$a\n= b$$", "\\begin{equation}\na = b\n\\end{equation}"])
+def test_text_around_code_is_repaired(code):
+    text = f"the tempera-\nture of g1ass\n{code}\nsettles\nnear the bounda-\nry."
+    noise, repaired = scans.read_block(text, scans.Marks(*MARKS), vocabulary())
+    assert noise == {"line_hyphen", "misread_chars"} and repaired == f"the temperature of glass\n\n{code}\n\nsettles near the boundary."
+    inline = scans.read_block("the g1ass of `g1ass-\u2010` and $$g1ass$$ at <pre>g1ass</pre> near", scans.Marks(*MARKS), vocabulary())[1]
+    assert inline == "the glass of `g1ass-\u2010` and $$g1ass$$ at <pre>g1ass</pre> near"
+
+
 def test_scans_of_nothing(spark):
     b = spark.createDataFrame([], "block_id string, modality string, content string, address struct<paper_id:string>")
     p = spark.createDataFrame([], "paper_id string, title string, venue string, authors string")
