@@ -15,6 +15,7 @@ is not markup. A block delivered twice gives one row. A branch seen once keeps i
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -206,12 +207,18 @@ def marked_fields(blocks: DataFrame) -> DataFrame:
     return marked.select("block_id", "paper_id", F.explode(fields).alias("f")).select("block_id", "paper_id", "f.field", "f.text").where("text is not null")
 
 
+def content_key(content: str) -> str:
+    """What stands for the whole of a content: itself with plain spacing, or its beginning and a hash."""
+    content = re.sub(r"\s+", " ", content)
+    return content if len(content) <= 200 else f"{content[:160]} {hashlib.md5(content.encode('utf-8', 'replace')).hexdigest()}"
+
+
 def parsed(blocks: DataFrame) -> DataFrame:
     """(block_id, paper_id, field, markup, branch, content): one row per branch of each field."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, p, f, m, k, re.sub(r"\s+", " ", c)[:200]) for i, p, f, t in zip(b["block_id"], b["paper_id"], b["field"], b["text"]) for m, k, c in branches(t)]
+            rows = [(i, p, f, m, k, content_key(c)) for i, p, f, t in zip(b["block_id"], b["paper_id"], b["field"], b["text"]) for m, k, c in branches(t)]
             yield pd.DataFrame(rows, columns=["block_id", "paper_id", "field", "markup", "branch", "content"])
 
     return marked_fields(blocks).mapInPandas(run, "block_id string, paper_id string, field string, markup string, branch string, content string").distinct()

@@ -250,6 +250,12 @@ def test_style_tree_drops_what_never_changes(spark):
     assert {tuple(r) for r in markup.found_markup(df).collect()} == {(f"b{i}", "content", "wiki") for i in range(6)}
 
 
+def test_long_contents_differ_late(spark):
+    rows = [("p", f"b{i}", "text", "> " + "word " * 60 + str(i), None) for i in range(4)]
+    df = spark.createDataFrame(rows, "paper string, block_id string, modality string, content string, caption string").selectExpr("block_id", "modality", "content", "caption", "named_struct('paper_id', paper) as address")
+    assert [(r["branch"], r["fields"], round(r["importance"], 6)) for r in markup.style_tree(markup.parsed(df)).collect()] == [("quote", 4, 1.0)]
+
+
 # ---- 8: encoding -----------------------------------------------------------------------------------------------
 
 
