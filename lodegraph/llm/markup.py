@@ -1,11 +1,15 @@
 """Problem 7: markup residue found, weighed in a style tree of its source, and turned into clean text.
 
-Each field is parsed into branches: a markup kind, what it is, and the content it holds. The branches
-of all fields of one paper (the "site") are merged into one style tree. A branch's importance is the
-entropy of its contents over the fields that have it, as a share of the highest entropy so many
-fields could have: a category, label or comment that says the same everywhere carries nothing. Low
-branches are removed; structure (headings, lists, code, formulas, tables) is always kept as plain
-text, and what other branches hold is kept without its marks.
+Each field is parsed into branches: a markup kind, what it is, and the content it holds. HTML is
+parsed into nested nodes; a node's branch is its path of tags and classes. The branches of all fields
+of one paper (the "site") are merged into one style tree. A branch's importance is the entropy of its
+contents over the fields that have it, as a share of the highest entropy so many fields could have: a
+category, label or comment that says the same everywhere carries nothing. Among the HTML nodes of one
+path, each way to present text (the tags within) and each content with it has an importance too: 1
+less the logarithm of the places that show it as a share of that of the places with the path. Low
+branches, and nodes that are low in both, are removed; structure (headings, lists, code, formulas,
+tables) is always kept as plain text, as are inline elements within running text, and what other
+branches hold is kept without its marks.
 
 Defined results. Content of table and formula blocks is markup by definition and left alone; their
 captions are not. Null and empty fields have no markup; a null stays null. A page number between
@@ -20,6 +24,7 @@ import html
 import re
 from collections.abc import Iterator
 from html.entities import html5
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,6 +66,7 @@ _TEX_FORMULA = re.compile(
     re.S,
 )
 _TEX_ENV = re.compile(r"\\(?:begin|end)\{(?P<in>[A-Za-z]+)\*?\}(?:\[[^\]\n]*\])?")
+_TEX_BLOCK = re.compile(r"\\begin\{(?P<in>[A-Za-z]+)(?P<star>\*?)\}(?:\[[^\]\n]*\])?(?P<text>.*?)\\end\{(?P=in)(?P=star)\}", re.S)
 _TEX_SWITCH = re.compile(r"\{\\(?P<in>it|bf|em|tt|rm|sc|sl|sf)\b\s*(?P<text>[^{}]*)\}")
 _TEX_COMMAND = re.compile(r"\\(?P<in>[A-Za-z]{2,})\*?(?P<opt>\[[^\]\n]*\])?(?P<args>(?:\{[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*\})*)")
 _TEX_SILENT = {"label", "cite", "citep", "citet", "ref", "eqref", "pageref", "index", "vspace", "hspace", "includegraphics", "bibliography", "usepackage", "documentclass"}
@@ -102,16 +108,107 @@ def _lines(kind: str, text: str) -> list[re.Match]:
     return out
 
 
+_VOID = {"br", "hr", "img", "input", "link", "meta", "col"}
+#: Elements that end an open element of the second set, up to the nearest of the third.
+_ENDS = [({"li"}, {"li"}, {"ul", "ol"}), ({"td", "th"}, {"td", "th"}, {"tr", "table"}), ({"tr"}, {"td", "th", "tr"}, {"table"}), ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), ({"option"}, {"option"}, {"select"})]
+_BLOCKS = set("article aside blockquote body center details div figcaption figure footer form header main nav p section summary".split())
+_ENDS_P = _BLOCKS | set("dl h1 h2 h3 h4 h5 h6 hr li ol pre table tr td th ul".split())
+#: Elements that may be removed if they say nothing; of the last four only those that stand by themselves.
+_REMOVABLE = (_BLOCKS - {"body", "main", "blockquote"}) | {"span", "font", "small", "label"}
+_STRUCTURE = re.compile(r"<(?:h[1-6]|[uod]l|li|pre|code|table|tr|td|th|blockquote)\b|```|~~~|^ {0,3}#{1,6}[ \t]|^={2,6}[^=\n]|^[ \t]*(?:[*+-]|\d{1,3}[.)])[ \t]|\\(?:item|section|subsection|begin)\b|^[ \t]*\|", re.I | re.M)
+
+
+def content_key(content: str) -> str:
+    """What stands for the whole of a content: itself with plain spacing, or its beginning and a hash."""
+    content = re.sub(r"\s+", " ", content)
+    return content if len(content) <= 200 else f"{content[:160]} {hashlib.md5(content.encode('utf-8', 'replace')).hexdigest()}"
+
+
+class Node(NamedTuple):
+    """An HTML element: its path, its place in the text, the tags and the text within."""
+
+    path: str
+    start: int
+    end: int
+    shape: str
+    content: str
+
+    def key(self) -> str:
+        return content_key(f"{self.shape}: {self.content}")
+
+
+def _blank(m: re.Match) -> str:
+    return " " * len(m[0])
+
+
+def html_nodes(text: str) -> list[Node]:
+    """The elements of a text, each after those within it; code fences and comments hold none."""
+    if "<" not in text:
+        return []
+    text = _COMMENT.sub(_blank, _FENCE.sub(_blank, text))
+    stack: list[list] = []  # [tag, step of the path, start, end of the start tag, tags within]
+    out: list[Node] = []
+
+    def close(inner: int, outer: int) -> None:
+        tag, _, start, begun, tags = stack[-1]
+        path = "/".join(x[1] for x in stack)
+        stack.pop()
+        said = " ".join(html.unescape(_TAG.sub(" ", text[begun:inner])).split())
+        out.append(Node(path, start, outer, " ".join(tags), said))
+
+    for m in _TAG.finditer(text):
+        tag = m["tag"].lower()
+        if m[0].startswith("</"):
+            if any(x[0] == tag for x in stack):
+                while stack[-1][0] != tag:
+                    close(m.start(), m.start())
+                close(m.start(), m.end())
+            continue
+        while stack and stack[-1][0] == "p" and tag in _ENDS_P:
+            close(m.start(), m.start())
+        for begins, ended, within in _ENDS:
+            if tag in begins:
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in within), -1)
+                at = next((i for i in range(depth + 1, len(stack)) if stack[i][0] in ended), len(stack))
+                while len(stack) > at:
+                    close(m.start(), m.start())
+        kind = re.search(r"\sclass\s*=\s*[\"']?([^\"'>]*)", m[0], re.I)
+        step = f"{tag}.{'.'.join(kind[1].lower().split())}" if kind and kind[1].strip() else tag
+        for x in stack:
+            x[4].append(step)
+        stack.append([tag, step, m.start(), m.end(), []])
+        if tag in _VOID or m[0].endswith("/>"):
+            close(m.end(), m.end())
+    while stack:
+        close(len(text), len(text))
+    return out
+
+
+def _removable(node: Node, text: str) -> bool:
+    """Whether a node is a block, or stands by itself, and holds no structure."""
+    tag = re.split(r"[./]", node.path.rpartition("/")[2])[0]
+    inside = text[node.start : node.end]
+    if tag not in _REMOVABLE or _STRUCTURE.search(inside) or _TEX_FORMULA.search(inside):
+        return False
+    if tag in _BLOCKS:
+        return True
+    before, after = text[: node.start].rstrip(" \t"), text[node.end :].lstrip(" \t")
+    edge = r"(?:div|p|section|header|footer|nav|aside|article|td|th|li|br|hr)"
+    return (not before or before[-1] == "\n" or bool(re.search(rf"</?{edge}\b[^<>]*>$", before[-200:], re.I))) and (not after or after[0] == "\n" or bool(re.match(rf"</?{edge}\b[^<>]*>", after, re.I)))
+
+
 def branches(text: str | None) -> list[tuple[str, str, str]]:
     """(markup, branch, content) of every piece of markup."""
     if not text:
         return []
     out: list[tuple[str, str, str]] = []
+    whole = text
     code = [(m.start(), m.end()) for m in _FENCE.finditer(text)]
     if code:
         out += [("markdown", "code", m["code"]) for m in _FENCE.finditer(text)]
         text = _FENCE.sub("\n", text)
     if "<" in text:
+        out += [("html", f"node {x.path}", f"{x.shape}: {x.content}") for x in html_nodes(whole)]
         out += [("html", "comment", m[0]) for m in _COMMENT.finditer(text)]
         text = _COMMENT.sub("", text)
         out += [("html", m["tag"].lower(), m[0].lower()) for m in _TAG.finditer(text)]
@@ -121,7 +218,8 @@ def branches(text: str | None) -> list[tuple[str, str, str]]:
     if formulas:
         out += [("latex", "formula", m[0]) for m in _TEX_FORMULA.finditer(text)]
         text = _TEX_FORMULA.sub(" ", text)
-        out += [("latex", f"environment {m['in']}", "") for m in _TEX_ENV.finditer(text)]
+        closed = {m.start(): m["text"] for m in _TEX_BLOCK.finditer(text)}
+        out += [("latex", f"environment {m['in']}", closed.get(m.start(), "")) for m in _TEX_ENV.finditer(text) if m[0].startswith("\\begin") or m.end() not in {x.end() for x in _TEX_BLOCK.finditer(text)}]
         text = _TEX_ENV.sub("", text)
         out += [("latex", m["in"], m["args"] or "") for m in _TEX_COMMAND.finditer(text)]
     for kind, pattern in _WIKI.items():
@@ -145,6 +243,10 @@ def clean(text: str | None, low: set[str] = frozenset()) -> str | None:
     """Plain text that keeps headings and list items as lines, code, formulas and table cells; ``low`` are branches to drop."""
     if not text:
         return text
+    gone = [x for x in html_nodes(text) if f"html node {x.path} {x.key()}" in low and _removable(x, text)] if low else []
+    for x in sorted(gone, key=lambda x: (-x.start, -x.end)):
+        if not any(y.start <= x.start and x.end <= y.end and y is not x for y in gone):
+            text = text[: x.start] + "\n" + text[x.end :]
     held: list[str] = []
 
     def hold(value: str) -> str:
@@ -162,6 +264,7 @@ def clean(text: str | None, low: set[str] = frozenset()) -> str | None:
     text = _TAG.sub("", text)
     text = _ENTITY.sub(lambda m: html.unescape(m[0]) if _entity(m) else m[0], text)
     text = _TEX_SWITCH.sub(lambda m: m["text"], text)
+    text = _TEX_BLOCK.sub(lambda m: "" if f"latex environment {m['in']}" in low and not _STRUCTURE.search(m["text"]) and "\x00" not in m["text"] else m[0], text)
     text = re.sub(r"\\item\b\s*", "\n• ", text)
     text = _TEX_ENV.sub("", text)
 
@@ -198,30 +301,24 @@ def clean(text: str | None, low: set[str] = frozenset()) -> str | None:
 
 
 def marked_fields(blocks: DataFrame) -> DataFrame:
-    """(block_id, paper_id, field, text) of the fields that may hold markup, once per block."""
+    """(block_id, paper_id, field, text, place) of the fields that may hold markup, once per block; a caption is one place wherever it is copied to."""
     base = blocks.select("block_id", F.col("address.paper_id").alias("paper_id"), "modality", "content", "caption")
     hint = lambda c: F.coalesce(F.col(c).rlike(HINT), F.lit(False))
     body = ~F.col("modality").isin("table", "formula") & hint("content")
     fields = F.array(F.struct(F.lit("content").alias("field"), F.when(body, F.col("content")).alias("text")), F.struct(F.lit("caption").alias("field"), F.when(hint("caption"), F.col("caption")).alias("text")))
     marked = base.where(F.coalesce(body, F.lit(False)) | hint("caption"))
-    return marked.select("block_id", "paper_id", F.explode(fields).alias("f")).select("block_id", "paper_id", "f.field", "f.text").where("text is not null")
-
-
-def content_key(content: str) -> str:
-    """What stands for the whole of a content: itself with plain spacing, or its beginning and a hash."""
-    content = re.sub(r"\s+", " ", content)
-    return content if len(content) <= 200 else f"{content[:160]} {hashlib.md5(content.encode('utf-8', 'replace')).hexdigest()}"
+    return marked.select("block_id", "paper_id", "modality", F.explode(fields).alias("f")).select("block_id", "paper_id", "f.field", "f.text", F.when((F.col("modality") == "text") & (F.col("f.field") == "content"), F.col("block_id")).otherwise(F.md5("f.text")).alias("place")).where("text is not null")
 
 
 def parsed(blocks: DataFrame) -> DataFrame:
-    """(block_id, paper_id, field, markup, branch, content): one row per branch of each field."""
+    """(block_id, paper_id, field, place, markup, branch, content): one row per branch of each field."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, p, f, m, k, content_key(c)) for i, p, f, t in zip(b["block_id"], b["paper_id"], b["field"], b["text"]) for m, k, c in branches(t)]
-            yield pd.DataFrame(rows, columns=["block_id", "paper_id", "field", "markup", "branch", "content"])
+            rows = [(i, p, f, w, m, k, content_key(c)) for i, p, f, w, t in zip(b["block_id"], b["paper_id"], b["field"], b["place"], b["text"]) for m, k, c in branches(t)]
+            yield pd.DataFrame(rows, columns=["block_id", "paper_id", "field", "place", "markup", "branch", "content"])
 
-    return marked_fields(blocks).mapInPandas(run, "block_id string, paper_id string, field string, markup string, branch string, content string").distinct()
+    return marked_fields(blocks).mapInPandas(run, "block_id string, paper_id string, field string, place string, markup string, branch string, content string").distinct()
 
 
 def style_tree(rows: DataFrame) -> DataFrame:
@@ -232,6 +329,17 @@ def style_tree(rows: DataFrame) -> DataFrame:
     return sums.select("paper_id", "markup", "branch", "fields", F.when(F.col("fields") > 1, F.greatest(F.lit(0.0), entropy) / F.log("fields")).otherwise(F.lit(1.0)).alias("importance"))
 
 
+def low_nodes(rows: DataFrame) -> DataFrame:
+    """(paper_id, low): HTML nodes whose presentation and content together say too little among the nodes of their path.
+
+    A content is counted with its presentation, so it is shown by no more fields than the presentation alone: it is low only if both are."""
+    nodes = rows.where("markup = 'html' and branch like 'node %'")
+    paths = nodes.groupBy("paper_id", "branch").agg(F.countDistinct("place").alias("m")).where("m > 1")
+    kinds = nodes.groupBy("paper_id", "branch", "content").agg(F.countDistinct("place").alias("k")).where("k > 1")
+    shared = kinds.join(paths.withColumnRenamed("paper_id", "__p").withColumnRenamed("branch", "__b"), F.col("paper_id").eqNullSafe(F.col("__p")) & (F.col("branch") == F.col("__b")))
+    return shared.where(1 - F.log("k") / F.log("m") < LOW).select("paper_id", F.concat_ws(" ", F.lit("html"), "branch", "content").alias("low"))
+
+
 def found_markup(blocks: DataFrame) -> DataFrame:
     return parsed(blocks).select("block_id", "field", "markup").distinct()
 
@@ -239,7 +347,9 @@ def found_markup(blocks: DataFrame) -> DataFrame:
 def clean_blocks(blocks: DataFrame) -> DataFrame:
     """(block_id, field, clean): every field that held markup, as clean text."""
     kept = sorted(_KEPT)
-    low = style_tree(parsed(blocks)).where((F.col("importance") < LOW) & ~F.col("branch").isin(kept)).groupBy("paper_id").agg(F.collect_set(F.concat_ws(" ", "markup", "branch")).alias("low"))
+    rows = parsed(blocks)
+    names = style_tree(rows).where((F.col("importance") < LOW) & ~F.col("branch").isin(kept)).select("paper_id", F.concat_ws(" ", "markup", "branch").alias("low"))
+    low = names.unionByName(low_nodes(rows)).groupBy("paper_id").agg(F.collect_set("low").alias("low"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

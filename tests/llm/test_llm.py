@@ -256,6 +256,26 @@ def test_long_contents_differ_late(spark):
     assert [(r["branch"], r["fields"], round(r["importance"], 6)) for r in markup.style_tree(markup.parsed(df)).collect()] == [("quote", 4, 1.0)]
 
 
+def test_html_nodes_nest():
+    nodes = {(x.path, x.content) for x in markup.html_nodes('<div class="a">x <p>one<p>two</div><ul><li>3<li>4 <b>5</b></ul><br/>')}
+    assert nodes == {("div.a/p", "one"), ("div.a/p", "two"), ("div.a", "x one two"), ("ul/li", "3"), ("ul/li/b", "5"), ("ul/li", "4 5"), ("ul", "3 4 5"), ("br", "")}
+
+
+def test_repeated_html_blocks_are_dropped(spark):
+    body = "<div>Text number {0} holds.</div>\n<div>Printed by the <b>Seam</b> Society</div>\n<p>Sample {0} is a <span>unit</span> cell.</p>\n<h3>Method</h3>\n<div>Notes<ul><li>same</li></ul></div>\n\\begin{{center}}Draft\\end{{center}}"
+    rows = [("p", f"b{i}", "text", body.format(i), None) for i in range(6)] + [("q", "c", "text", body.format(9), None)]
+    df = spark.createDataFrame(rows, "paper string, block_id string, modality string, content string, caption string").selectExpr("block_id", "modality", "content", "caption", "named_struct('paper_id', paper) as address")
+    got = {r["block_id"]: r["clean"] for r in markup.clean_blocks(df).collect()}
+    assert all(got[f"b{i}"].split("\n") == [f"Text number {i} holds.", "", f"Sample {i} is a unit cell.", "", "Method", "", "Notes", "• same"] for i in range(6))
+    assert "Printed by the Seam Society" in got["c"] and "Draft" in got["c"]
+
+
+def test_copies_of_a_caption_are_no_repeats(spark):
+    rows = [("p", "a", "figure", "<p>Figure 1: A scan.", "<p>Figure 1: A scan."), ("p", "b", "caption", "<p>Figure 1: A scan.", None), ("p", "c", "text", "<p>Other text.", None)]
+    df = spark.createDataFrame(rows, "paper string, block_id string, modality string, content string, caption string").selectExpr("block_id", "modality", "content", "caption", "named_struct('paper_id', paper) as address")
+    assert sorted(r["clean"] for r in markup.clean_blocks(df).collect()) == ["Figure 1: A scan."] * 3 + ["Other text."]
+
+
 # ---- 8: encoding -----------------------------------------------------------------------------------------------
 
 
