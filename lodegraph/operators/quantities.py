@@ -142,7 +142,7 @@ def read_value(content, normalized, span, readings, learned: dict | None = None)
 
 
 def unit_links(linked: DataFrame) -> DataFrame:
-    """Labels that two sources give to the same value, with the ratio of the two numbers: (a, b, n, ratio, agreeing)."""
+    """Labels that two sources give to the same value: (a, b, n, mid, agreeing), with the median ratio of the two numbers and the share of the n links near it."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,10 +160,11 @@ def unit_links(linked: DataFrame) -> DataFrame:
                             rows.append((U.unit_key(label), U.unit_key(other), float(value / against)))
             yield pd.DataFrame(rows, columns=["a", "b", "ratio"])
 
-    pairs = linked.mapInPandas(link, "a string, b string, ratio double")
-    mid = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.percentile_approx("ratio", 0.5, 1000).alias("mid"), F.collect_set(F.round("ratio", 6)).alias("__seen"))
-    share = F.size(F.filter("__seen", lambda r: F.abs(r / F.col("mid") - 1) <= SPREAD)) / F.size("__seen")
-    return mid.select("a", "b", "n", "mid", share.alias("agreeing"))
+    pairs = cut_lineage(linked.mapInPandas(link, "a string, b string, ratio double"))
+    mid = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.percentile_approx("ratio", 0.5, 1000).alias("mid"))
+    counted = pairs.groupBy("a", "b", "ratio").agg(F.count("*").alias("c"))
+    near = F.when(F.abs(F.col("ratio") / F.col("mid") - 1) <= SPREAD, F.col("c")).otherwise(0)
+    return counted.join(mid, ["a", "b"]).groupBy("a", "b", "n", "mid").agg((F.sum(near) / F.col("n")).alias("agreeing"))
 
 
 def learn_labels(links: DataFrame) -> dict[str, tuple]:

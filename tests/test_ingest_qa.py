@@ -93,6 +93,16 @@ def test_labels_are_learned_from_links(spark):
     assert set(learned) == {"blorps", "zips"} and learned["blorps"][0] == "stress" and learned["blorps"][3]
 
 
+def test_stray_links_do_not_outweigh_many(spark):
+    rows = [(f"{i + 1} zorkpascal", f"{(i + 1) * 1000} MPa", None) for i in range(60)] + [("1 zorkpascal", "7 MPa", None), ("1 zorkpascal", "31 MPa", None)]
+    links = quantities.unit_links(spark.createDataFrame(rows, "content string, normalized_content string, readings string"))
+    (r,) = links.collect()
+    assert (r["a"], r["b"], r["n"], round(r["mid"], 6), round(r["agreeing"], 6)) == ("zorkpascal", "MPa", 62, 0.001, round(60 / 62, 6))
+    learned = quantities.learn_labels(links)["zorkpascal"]
+    assert (learned[0], float(learned[1])) == ("stress", 1000.0)
+
+
+
 def test_planner_gates():
     assert planner.difficulty_cap(1, 1) == "L1" and planner.difficulty_cap(3, 9) == "L4"
     assert not planner.dual_multi_hop("L3", 1, 9) and planner.dual_multi_hop("L3", 2, 2)
