@@ -101,7 +101,7 @@ _WORD_NUM = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 
 def is_refusal(question: str | None, answer: str | None) -> bool:
     """Declines, or says that the text does not tell; a measured finding of its own is no refusal."""
-    if not answer or len(answer) > 600:
+    if not answer:
         return False
     text = _plain(answer)
     if not _REFUSAL.search(text):

@@ -27,6 +27,12 @@ def test_refusals(answer, want):
     assert answers.is_refusal(LONG, answer) is want
 
 
+def test_long_refusals():
+    polite = "Thank you for the careful question about this specimen. " * 20
+    assert answers.is_refusal(LONG, polite + "I'm sorry, but I can't answer it.")
+    assert not answers.is_refusal(LONG, polite + "It could not be determined before, but it reaches 5 MPa.") and not answers.is_refusal(LONG, polite)
+
+
 @pytest.mark.parametrize("answer,want", [(LONG, True), ("Question: " + LONG, True), (LONG.upper().replace(" ", "  "), True), (f"{LONG} {LONG}", True), (LONG[:-1], True), (LONG + " It reaches 85.76 GPa because the porous binder traps of another lot lie along the boundary.", False), ("85.76 GPa", False), (None, False)])
 def test_copies(answer, want):
     assert answers.is_copy(LONG, answer) is want
