@@ -16,7 +16,7 @@ NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 # Names that say nothing, cue words, confidences (they must equal the established ones).
 STOPWORDS = ["value", "values", "parameter", "parameters", "param", "params", "no", "num", "number", "item", "items", "index", "id", "symbol", "symbols", "quantity", "unit", "units", "name", "type", "data", "result", "results", "table", "fig", "figure", "ref", "refs", "n/a", "na", "none", "-", "/", "—", "this work", "proposed", "proposed work", "ours", "this paper", "reference", "others"]
-METADATA = EDGE_L + r"(publication|received|accepted|revised|submitted|current version|copyright|doi|issn|isbn|license|licensed|licenced|ieee|digital object|permission|reprint|all rights reserved|corresponding author|manuscript|page [0-9]+|vol\.|volume [0-9]+)" + EDGE_R
+METADATA = EDGE_L + r"(publication|received|accepted|revised|submitted|current version|copyright|doi|issn|isbn|license|licen[cs]ed|ieee|digital object|permission|reprint|all rights reserved|corresponding author|manuscript|page [0-9]+|vol\.|volume [0-9]+)" + EDGE_R
 NODE_ID = r"[a-zA-Z0-9_]+_[0-9a-f]{8}([^0-9A-Za-z_]|$)|::|_c[0-9]+([^0-9A-Za-z_]|$)|_tab[0-9]+([^0-9A-Za-z_]|$)|r[0-9]+c[0-9]+"
 NEGATIVE = EDGE_L + r"(not|no|never|without|cannot|none|neither|nor|fail(s|ed|ing)?\s+to|lack(s|ed|ing)?\s+of|absence\s+of)" + EDGE_R + r"|n['’]t" + EDGE_R
 CONTRASTIVE = EDGE_L + r"(unlike|whereas|however|although|though|but|conversely|in\s+contrast|contrary\s+to|rather\s+than|instead\s+of|as\s+opposed\s+to)" + EDGE_R
