@@ -94,16 +94,12 @@ def _spellings() -> tuple[dict[str, Unit], list[str]]:
 UNITS, _RAW = _spellings()
 
 
-def lookup(label: str | None, learned: dict[str, tuple] | None = None) -> Unit | None:
-    """The unit a label names, by the fixed table or by what the source graph taught."""
-    if not label:
-        return None
-    key = unit_key(label)
-    unit = UNITS.get(key)
-    if unit is None and learned and key in learned:
-        quantity, scale, offset, common = learned[key]
-        unit = Unit(quantity, key, _fraction(scale), _fraction(offset), common)
-    return unit
+BY_SYMBOL = {symbol: UNITS[unit_key(symbol)] for _, symbol, *_ in _TABLE}
+
+
+def lookup(label: str | None) -> Unit | None:
+    """The unit a label names by the fixed table alone."""
+    return UNITS.get(unit_key(label)) if label else None
 
 
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
@@ -162,6 +158,32 @@ def to_common(value: Decimal, unit: Unit) -> int:
     return whole if exact >= 0 else -whole
 
 
-_ALTERNATION = "|".join(sorted({re.escape(unicodedata.normalize("NFKC", x)).replace(r"\ ", r"[\s>]+") for x in _RAW}, key=len, reverse=True))
-#: A number and the unit after it in running text; words that make it a test condition follow as ``tail``.
-MEASURE = re.compile(rf"(?<![A-Za-z0-9.])(?<!\d,)(?<![A-Za-z]-)(?P<num>\d+(?:[.,]\d+)*)(?:[\s>]*(?P<unit>{_ALTERNATION})(?![A-Za-z0-9]))?(?=(?P<tail>.{{0,12}}))", re.S)
+#: A number in running text and what follows it; codes and parts of names are no numbers.
+MEASURE = re.compile(r"(?<![A-Za-z0-9.])(?<!\d,)(?<![A-Za-z]-)(?P<num>\d+(?:[.,]\d+)*)(?=(?P<tail>.{0,48}))", re.S)
+_CLAUSE = re.compile(r"[.,;:!?](?=\s|$|[㐀-鿿])|[。，；：、！？（）()\[\]]")
+_HAN_RUN = re.compile(r"[㐀-鿿]+")
+
+
+#: How a unit of several words goes on: a power or factor, what "per" or a degree is of.
+_GOES_ON = re.compile(r"per|square|cubic|[A-Za-zµμ]{1,4}\^?[-−+]?\d")
+_WAITS = {"per", "square", "cubic", "deg", "degree", "degrees"}
+
+
+def labels_after(tail: str) -> list[str]:
+    """What may be the unit label at the beginning of a text, longest first: the words of one unit, or six characters of Han."""
+    clause = _CLAUSE.split(re.sub(r"[\s>]+", " ", tail).lstrip(), maxsplit=1)[0]
+    if run := _HAN_RUN.match(clause):
+        return beginnings(run[0][:6])
+    words = clause.split(" ")
+    n = 1
+    while n < min(6, len(words)) and (words[n - 1].lower() in _WAITS or _GOES_ON.fullmatch(words[n])):
+        n += 1
+    return [x for x in beginnings(" ".join(words[:n])) if not x[0].isdigit() and len(x) <= 40]
+
+
+def beginnings(label: str) -> list[str]:
+    """A label and what it begins with, longest first: word by word, Han character by character."""
+    if _HAN_RUN.match(label):
+        return [label[:n] for n in range(len(label), 0, -1)]
+    words = label.split(" ")
+    return [x for n in range(len(words), 0, -1) if (x := " ".join(words[:n]).strip())]

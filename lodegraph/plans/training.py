@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodegraph.operators import quantities
+from lodegraph.session import cut_lineage
 from lodegraph.sources.tables import table
 
 
@@ -19,10 +19,15 @@ def p6_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_unit_graph(spark: SparkSession, folder: str) -> DataFrame:
-    """The links between unit labels that two sources give to the same value."""
-    linked = quantities.linked_values(table(spark, folder, "nodes"), table(spark, folder, "evidence_blocks"))
-    return quantities.unit_links(linked).orderBy(F.desc("n"), "a", "b")
+    """The links between unit labels that sources of one entity use, with the estimated scale and offset."""
+    read = cut_lineage(quantities.read_values(table(spark, folder, "nodes"), table(spark, folder, "evidence_blocks")))
+    return quantities.unit_links(quantities.label_links(read))
 
 
-QUERIES = {"p6_found": p6_found, "p6_values": p6_values, "p6_unit_graph": p6_unit_graph}
+def p6_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """What each label names, as carried through the graph from the unit symbols."""
+    return quantities.resolved_labels(p6_unit_graph(spark, folder), quantities.dictionary(spark))
+
+
+QUERIES = {"p6_found": p6_found, "p6_values": p6_values, "p6_unit_graph": p6_unit_graph, "p6_labels": p6_labels}
 SQL: dict[str, str] = {}
