@@ -328,12 +328,30 @@ def test_leaks_match_brute_force():
                 w = leaks.words(doc)
                 if any(tuple(w[k : k + 12]) in grams for k in range(len(w) - 11)):
                     want.add((d, i))
-    assert set(leaks.ItemIndex(items).search(docs)) == want and want
+    assert {(d, i) for d, i, _ in leaks.ItemIndex(items).search(docs)} == want and want
+
+
+def test_many_items_take_little_room():
+    """50,000 items: the index grows with their words, not with terms times items, and finds what is in it."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=14)), " ".join(rng.choices(vocabulary, k=40)), "w1 w2") for i in range(50_000)]
+    index = leaks.ItemIndex(items)
+    assert index.nbytes() < 200e6
+    docs = ["Before it. " + items[77][2].upper() + " w1", " ".join(items[4][1].split()[1:13]), " ".join(items[4][1].split()[:11]), None]
+    assert index.search(docs) == [(0, 77, 0.5), (1, 4, 0.0)]
+
+
+def test_shards_find_the_same(spark):
+    items = spark.createDataFrame([(i, f"q{i} " * 12, None, "a" if i % 2 else None) for i in range(9)], "item_id bigint, question string, passage string, answer string")
+    docs = spark.createDataFrame([(1, f"{'q3 ' * 12} and {'q4 ' * 12} a", 0), (2, None, 0), (3, "", 0)], "doc_id bigint, text string, score int")
+    want = {(1, 3, 1.0), (1, 4, None)}
+    assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == want == {tuple(r) for r in leaks.leaks(docs, items, shard=2).collect()}
 
 
 def test_no_items_no_leaks(spark):
     d = spark.createDataFrame([(1, "a " * 40)], "doc_id bigint, text string")
-    assert leaks.found_leaks(d, spark.createDataFrame([], "item_id bigint, question string, passage string")).count() == 0
+    assert leaks.found_leaks(d, spark.createDataFrame([], "item_id bigint, question string, passage string, answer string")).count() == 0
 
 
 # ---- 10: cut-offs ----------------------------------------------------------------------------------------------
