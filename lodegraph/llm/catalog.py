@@ -28,6 +28,16 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "qa_items"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of matching classes; a class holds the items with the same set of token pairs."""
+    return neardup.class_links(table(spark, folder, "qa_items"))
+
+
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every item."""
+    return neardup.class_members(table(spark, folder, "qa_items"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.found_terms(table(spark, folder, "nodes"), table(spark, folder, "canonical_terms"))
 
@@ -95,7 +105,7 @@ def p10_limits(spark: SparkSession, folder: str) -> DataFrame:
     return cutoffs.hidden_limits(cutoffs.inspected(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_groups, p3_found, p3_forms, p4_found, p4_text, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_groups, p2_classes, p2_members, p3_found, p3_forms, p4_found, p4_text, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)}
 
 #: The parts of these problems that SQL can state over the same tables.
 SQL = {

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lodegraph.llm import answers, cutoffs, encoding, endings, leaks, lookalikes, markup, neardup, pieces, scans
@@ -89,39 +90,54 @@ def test_pairs_match_brute_force(spark):
 
 def test_frequent_grams_and_blocks_lose_nothing(spark, monkeypatch):
     rows = edited(random.Random(4), 160)
-    monkeypatch.setattr(neardup, "RARE", 2)
     monkeypatch.setattr(neardup, "LEAVES", 3)
-    classes = neardup._prepared(spark.createDataFrame(rows, ITEMS))[1].collect()
-    import numpy as np
-
-    counts = np.bincount(np.concatenate([r["grams"] for r in classes]) % neardup.COUNTERS, minlength=neardup.COUNTERS)
-    keys = {r["rep"]: {k for k, _ in neardup.prefix_keys(np.array(r["grams"], dtype=np.int64), counts)} for r in classes}
-    grams = {r["rep"]: set(r["grams"]) for r in classes}
+    classes = neardup._prepared(spark.createDataFrame(rows, ITEMS))[1]
+    counts = neardup.gram_counts(classes, 1 << 16)
+    found = classes.collect()
+    keys = {r["rep"]: {k for k, _ in neardup.prefix_keys(np.array(r["grams"], dtype=np.int64), counts, 2)} for r in found}
+    grams = {r["rep"]: set(r["grams"]) for r in found}
     for a in keys:
         for b in keys:
             if a < b and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b]):
                 assert keys[a] & keys[b]
 
 
-def test_trie_walk_matches_all_pairs():
-    import numpy as np
-
+def test_trie_walk_matches_all_pairs(monkeypatch):
     rng = np.random.default_rng(1)
-    paths = rng.integers(0, 1 << 63, (90, 4), dtype=np.uint64)
-    paths[30:60] = paths[:30] ^ (np.uint64(1) << rng.integers(0, 63, (30, 4), dtype=np.uint64))
+    paths = rng.integers(0, 1 << 63, (90, 2), dtype=np.uint64)
+    paths[30:60] = paths[:30] ^ (np.uint64(1) << rng.integers(0, 63, (30, 2), dtype=np.uint64))
     paths[60:70, 0] = paths[0, 0]
-    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if int(np.bitwise_count(paths[i] ^ paths[j]).sum()) <= 66}
-    i, j = neardup.walk(paths, 66)
-    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want
+    paths[70:74] = paths[0]
+    keys = rng.integers(0, 3, 90)
+    for budget in (0, 2, 33, 64):
+        want = {(i, j) for i in range(90) for j in range(i + 1, 90) if keys[i] == keys[j] and int(np.bitwise_count(paths[i] ^ paths[j]).sum()) <= budget}
+        for frontier in (7, 1_000_000):
+            monkeypatch.setattr(neardup, "FRONTIER", frontier)
+            i, j = neardup.walk(keys, paths, np.full(129, budget))
+            assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
+
+
+def test_walk_drops_pairs_above_the_budget_of_their_depth():
+    """Two leaves whose first 32 bits all differ are dropped on the way, however alike the rest is."""
+    paths = np.array([[0, 0], [0xFFFFFFFF << 32, 0], [1, 0]], dtype=np.uint64)
+    i, j = neardup.walk(np.zeros(3, dtype=np.int64), paths, neardup.error_budget())
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(0, 2)}
 
 
-def test_large_classes_are_stars(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "COPIES", 5)
+def test_many_copies_are_a_star_and_different_texts_are_not(spark):
     rows = [(f"c{i:02}", "one two three four", "five six") for i in range(12)] + [("z", "one two three four", "five six seven")]
-    got = {tuple(r) for r in neardup.found_pairs(spark.createDataFrame(rows, ITEMS)).collect()}
-    assert got == {("c00", f"c{i:02}") for i in range(1, 12)} | {("c00", "z")}
-    groups = {r["qid"]: r["group_id"] for r in neardup.groups(spark.createDataFrame(rows, ITEMS)).collect()}
-    assert set(groups.values()) == {"c00"} and len(groups) == 13
+    rows += [(f"d{i:02}", "one two three four five six " * (i + 2), "") for i in range(8)]  # other texts of one class
+    df = spark.createDataFrame(rows, ITEMS)
+    copies = {r[0] for r in rows[:12]}
+    want = {p for p in brute(rows) if not set(p) <= copies and not set(p) & (copies - {"c00"})} | {("c00", f"c{i:02}") for i in range(1, 12)}
+    assert {tuple(r) for r in neardup.found_pairs(df, copies=5).collect()} == want
+    assert {tuple(r) for r in neardup.found_pairs(df, copies=None).collect()} == brute(rows)
+    groups = {r["qid"]: r["group_id"] for r in neardup.groups(df).collect()}
+    assert set(groups.values()) == {"c00"} and len(groups) == 21
+    names = {r["qid"]: r["class_id"] for r in neardup.class_members(df).collect()}
+    links = {(r["class_a"], r["class_b"]) for r in neardup.class_links(df).collect()}
+    ids = sorted(names)
+    assert {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if names[a] == names[b] or (min(names[a], names[b]), max(names[a], names[b])) in links} == brute(rows)
 
 
 def test_no_items(spark):
