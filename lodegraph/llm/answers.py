@@ -1,9 +1,10 @@
 """Problem 1: defective answers.
 
 Rules are applied in a fixed order and every one that is triggered is emitted: emptiness, refusal,
-copied question, script or language mismatch, and truncation (unclosed delimiters, ellipses, a
-beginning of an evidence sentence that stops early, or an ending that the corpus's finished
-sentences don't know).
+copied question (whole, as a prefix, or in its words), script or language mismatch, and truncation
+(unclosed delimiters, ellipses, a beginning of an evidence sentence that stops early, or an ending
+that the corpus's finished sentences don't know). Every item is read once: what the endings are judged
+by is counted in the same pass.
 
 Defined results. A null answer is empty. A null question has no language and is never copied. An
 item without evidence is judged by its own words. An item delivered twice gives one result. Of
@@ -12,6 +13,7 @@ several defects the first in ``ORDER`` is the item's defect in ``found_defects``
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.functions import units as U
 from lodegraph.llm import endings as E
 from lodegraph.session import cut_lineage
 
@@ -47,15 +50,22 @@ _REFUSAL = re.compile(
     """
 )
 
-# Words that only one of these languages uses often.
+# An experiment that failed, told with its means or cause, and words for what an answer is taken from.
+_FINDING = re.compile(r"(?i)\bcould\s+not\s+be\s+(?:measured|determined|found|established|resolved|observed|inferred|derived|concluded)\b.*?\b(?:by|with|using|since|because|due\s+to|owing\s+to|as)\b")
+_OF_THE_TEXT = re.compile(r"(?i)\b(?:text|passage|context|paper|document|source|evidence|excerpt|information|spans?|tables?|figures?|sections?|provided|given|stated|answer)\b")
+
+# The commonest function words of languages in Latin letters.
 _ONLY = {
-    "en": set("the of is are was were which with by from and that this its what how why does at has have been below above during".split()),
-    "de": set("der das und ist mit für von dem den nach bei zeigt wird bleibt über dass nicht auf eine einen einer des im zum zur aus weil wurde liegt etwa danach sich auch".split()),
-    "fr": set("le la les des du une est et pour dans sur avec que qui aux pendant reste par ne pas vaut au bout montre après car se situe lot".split()),
-    "es": set("el los las una es y para con que por del al muestra después según entre se su".split()),
-    "it": set("il lo gli una è e per con che della del dopo secondo tra si".split()),
-    "pt": set("os as uma é e para com que do da dos das após não se".split()),
-    "nl": set("het een is en van voor met dat niet naar zijn wordt bij uit".split()),
+    "en": set("the of and to in is are was were which with by from for on at as that this these its it be been has have had not or but what how why does did than when while above below during".split()),
+    "de": set("der die das und ist mit für von dem den des ein eine einen einem einer nicht auch auf bei nach über durch zum zur aus dass als wird wurde werden sich sind war im am".split()),
+    "fr": set("le la les des du un une et est pour dans sur avec que qui aux au par ne pas ce cette son sa ses il elle sont était plus".split()),
+    "es": set("el los las una y del con para por que se su sus como más pero fue son está entre".split()),
+    "it": set("il lo gli della del delle dei una e per con che di da nel nella sono è più non".split()),
+    "pt": set("os as uma e para com que do da dos das no na em não são foi mais pelo pela".split()),
+    "nl": set("het een en van voor met dat niet naar zijn wordt bij uit ook aan door werd deze".split()),
+    "sv": set("och att det som en ett på är av för med den till inte har om vid från".split()),
+    "pl": set("i w na z się nie do jest to że od po przez dla jako przy oraz był".split()),
+    "tr": set("ve bir bu da de için ile olarak olan çok daha gibi kadar sonra değil".split()),
 }
 _SCRIPTS = {"HAN": "han", "CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "HANGUL": "hangul", "CYRILLIC": "cyrillic", "ARABIC": "arabic", "HEBREW": "hebrew", "DEVANAGARI": "devanagari", "THAI": "thai", "GREEK": "greek"}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,6 +98,8 @@ def is_copy(question: str | None, answer: str | None) -> bool:
         return False
     if a == q or a.replace(q, "") == "":
         return True
+    if len(a) >= 0.8 * len(q) and q.startswith(a) or len(a) <= 1.1 * len(q) and a.startswith(q[: math.ceil(0.8 * len(q))]):
+        return True  # a copied prefix and hardly anything else
     qw, aw = _WORD_NUM.findall(_plain(question).casefold()), _WORD_NUM.findall(_plain(_QUESTION_LABEL.sub("", answer)).casefold())
     if len(aw) < 8 or len(qw) < 8:
         return False
@@ -100,15 +112,14 @@ _WORD_NUM = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 
 
 def is_refusal(question: str | None, answer: str | None) -> bool:
-    """Declines, or says that the text does not tell; a measured finding of its own is no refusal."""
+    """Declines, or says that the text does not tell; a finding of the experiment, or a measured value of the answer's own, is no refusal."""
     if not answer:
         return False
     text = _plain(answer)
-    if not _REFUSAL.search(text):
+    if not _REFUSAL.search(text) or _FINDING.search(text) and not _OF_THE_TEXT.search(text):
         return False
-    asked = set(_WORD_NUM.findall(_plain(question or "").casefold()))
-    own = [w for w in _WORD_NUM.findall(text.casefold()) if w not in asked]
-    return not any(c.isdigit() for w in own for c in w)
+    asked = _plain(question or "")
+    return not any(m["num"] not in asked and any(U.lookup(x) or x.startswith("%") for x in U.labels_after(m["tail"])) for m in U.MEASURE.finditer(text))
 
 
 def language(text: str | None) -> tuple[str, int]:
@@ -131,13 +142,20 @@ def language(text: str | None) -> tuple[str, int]:
     return best if best[1] >= 2 else ("none", 0)
 
 
-def is_foreign(question: str | None, answer: str | None) -> bool:
+def is_foreign(question: str | None, answer: str | None, evidence: str = "") -> bool:
+    """Another script or language than the question's: by the function words, or since hardly a word is one of the question, the evidence or their language."""
     if not question or not answer:
         return False
     asked, _ = language(question)
     said, n = language(answer)
-    if asked == "none" or said == "none" or asked == said:
+    if asked == "none" or asked == said:
         return False
+    if said == "none" or said in _ONLY and n < 3:
+        if asked not in _ONLY:
+            return False
+        words = [w for w in _WORD.findall(_plain(answer)) if w.islower() and len(w) > 1]
+        home = {w.lower() for w in _WORD.findall(_plain(f"{question} {evidence}"))} | _ONLY[asked]
+        return len(words) >= 4 and sum(w in home for w in words) <= 0.25 * len(words) and not any(w in _ONLY[asked] for w in words)
     if said == "han" and _HAN_UNIT.match(_plain(answer)):
         return False
     return n >= 3 or said == "han"
@@ -178,12 +196,12 @@ def features(question: str | None, answer: str | None, evidence: list[str]) -> t
     """(defects that need no counts, truncation state, frame to be counted)."""
     if is_empty(answer):
         return ["empty_answer"], "no", None
-    defects = [name for name, hit in (("refusal", is_refusal(question, answer)), ("copied_question", is_copy(question, answer)), ("wrong_language", is_foreign(question, answer))) if hit]
+    defects = [name for name, hit in (("refusal", is_refusal(question, answer)), ("copied_question", is_copy(question, answer)), ("wrong_language", is_foreign(question, answer, " ".join(evidence)))) if hit]
     end = E.ending(answer)
-    if end.state in ("none", "closed"):
-        return defects, "no", None
     if end.state == "marked" or unclosed(answer):
         return defects, "yes", None
+    if end.state in ("none", "closed"):
+        return defects, "no", None
     tokens = _WORD_NUM.findall(end.last)
     if len(tokens) <= 8 and re.match(r"\s*[≈~约]?\s*[-+]?\d", end.last):
         return defects, "no", None  # a value and unit
@@ -199,16 +217,12 @@ def _evidence(items: DataFrame):
     return F.coalesce(F.array_join(F.filter(F.transform("evidence_spans", lambda s: s["content"]), lambda c: c.isNotNull()), "\x1e"), F.lit(""))
 
 
-def sentence_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(language, opener, tail, kind, closer, n) over every finished sentence of a column."""
+FRAME = ["language", "opener", "tail", "kind", "closer"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            counts = E.Counter(f for t in b[column] for part in (t or "").split("\x1e") for f in E.finished(part))
-            yield pd.DataFrame([(*f, n) for f, n in counts.items()], columns=["language", "opener", "tail", "kind", "closer", "n"])
 
-    schema = "language string, opener string, tail string, kind string, closer string, n bigint"
-    return texts.select(column).mapInPandas(run, schema).groupBy("language", "opener", "tail", "kind", "closer").agg(F.sum("n").alias("n"))
+def summed(frames: DataFrame) -> DataFrame:
+    """(language, opener, tail, kind, closer, n) of every kind of finished sentence."""
+    return frames.groupBy(*FRAME).agg(F.sum("n").alias("n"))
 
 
 def with_judgement(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -217,26 +231,32 @@ def with_judgement(rows: DataFrame, counts: DataFrame) -> DataFrame:
     closers = counts.groupBy("language", "closer").agg(F.sum("n").alias("closer_n"))
     openers = counts.groupBy("language", "opener").agg(F.sum("n").alias("opener_n"))
     frames = counts.groupBy("language", "opener", "tail", "kind").agg(F.sum("n").alias("frame_n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     joined = rows.join(closers, ["language", "closer"], "left").join(openers, ["language", "opener"], "left").join(frames, ["language", "opener", "tail", "kind"], "left")
     c, o, f = (F.coalesce(x, F.lit(0)) for x in ("closer_n", "opener_n", "frame_n"))
-    return joined.withColumn("cut", (c < E.CLOSERS) | ((o >= E.OPENERS) & (f <= o * E.RARE_FRAME)))
+    return joined.withColumn("cut", (c < max(E.CLOSERS, total * E.CLOSER_SHARE)) | ((o >= E.OPENERS) & (f <= o * E.RARE_FRAME)))
 
 
 def defects(items: DataFrame) -> DataFrame:
     """(qid, defects): every item with all the defects that its answer triggers, in order; none for a sound one."""
     base = items.where("qid is not null").select("qid", "question", "answer", _evidence(items).alias("evidence"))
-    counts = sentence_counts(base.select(F.concat_ws("\x1e", "answer", "evidence").alias("text")), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            counts: E.Counter = E.Counter()
             rows = []
             for qid, q, a, ev in zip(b["qid"], b["question"], b["answer"], b["evidence"]):
-                found, state, f = features(q, a, [x for x in ev.split("\x1e") if x])
-                rows.append((qid, "|".join(found), state, *(f or (None,) * 5)))
-            yield pd.DataFrame(rows, columns=["qid", "found", "state", "language", "opener", "tail", "kind", "closer"])
-
-    rows = base.mapInPandas(run, "qid string, found string, state string, language string, opener string, tail string, kind string, closer string").dropDuplicates(["qid"])
-    rows = cut_lineage(rows)  # read twice below
+                evidence = [x for x in ev.split("\x1e") if x]
+                for text in (a, *evidence):
+                    counts.update(E.finished(text))
+                found, state, f = features(q, a, evidence)
+                rows.append((qid, "|".join(found), state, *(f or (None,) * 5), None))
+            rows += [(None, None, None, *f, n) for f, n in counts.items()]
+            yield pd.DataFrame(rows, columns=["qid", "found", "state", *FRAME, "n"])
+
+    both = cut_lineage(base.mapInPandas(run, f"qid string, found string, state string, {', '.join(f'{c} string' for c in FRAME)}, n bigint"))  # the texts are read only once
+    counts = summed(both.where("n is not null").select(*FRAME, "n"))
+    rows = both.where("n is null").drop("n").dropDuplicates(["qid"])
     sure = rows.where("state != 'ask' or closer is null").select("qid", "found", (F.col("state") == "yes").alias("cut"))
     asked = with_judgement(rows.where("state = 'ask' and closer is not null"), counts).select("qid", "found", "cut")
     every = F.array_compact(F.array_append(F.filter(F.split("found", r"\|"), lambda x: x != ""), F.when(F.col("cut"), F.lit("truncated_answer"))))

@@ -102,7 +102,7 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_limits(spark: SparkSession, folder: str) -> DataFrame:
     """The storage limits that the lengths of unfinished texts expose."""
-    return cutoffs.hidden_limits(cutoffs.inspected(table(spark, folder, "documents")))
+    return cutoffs.hidden_limits(cutoffs.inspected(table(spark, folder, "documents"))[0])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_groups, p2_classes, p2_members, p3_found, p3_forms, p4_found, p4_text, p5_found, p5_pieces, p7_found, p7_clean, p7_style_tree, p8_ids, p9_found, p9_items, p10_found, p10_sources, p10_limits)}

@@ -6,7 +6,9 @@ source, lengths that many unfinished texts share expose a hidden limit. Endings
 a text is cut if it ends inside a word, inside a sentence that the corpus's finished sentences don't
 end like that, or at a hidden limit without a finished sentence.
 
-Defined results. Null, empty, blank and odd texts (fewer than MIN_WORDS words) are never cut. A text
+Every text is read once: what the endings are judged by is counted in the same pass.
+
+Defined results. Null, empty, blank and odd texts (without two words in a row) are never cut. A text
 that ends with a list item, table row, keyword line, reference, formula, code or a closed bracket is
 complete. An ellipsis or a broken character inside a sentence is a cut; after a finished sentence it
 is not. Each document gives at most one row; equal texts are judged alike.
@@ -14,8 +16,6 @@ is not. Each document gives at most one row; equal texts are judged alike.
 
 from __future__ import annotations
 
-import html
-import json
 import re
 from collections.abc import Iterator
 
@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import endings as E
-from lodegraph.llm.answers import sentence_counts, with_judgement
+from lodegraph.llm.answers import FRAME, summed, with_judgement
 from lodegraph.session import cut_lineage
 
-MIN_WORDS = 6
 #: A length is a hidden limit of a source if so many unfinished texts have it and they are this share of all texts that have it.
 LIMIT_TEXTS, LIMIT_SHARE = 4, 0.6
 
@@ -42,21 +41,27 @@ _WHOLE_LINE = [
     re.compile(r"^\s*(?:https?://|www\.|doi:)\S+\s*$", re.I),
     re.compile(r"^(?:    |\t)\S"),  # indented code
 ]
-_WORDS = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]{2,}")
+_TWO_WORDS = re.compile(r"[㐀-鿿]{2}|[^\W\d_㐀-鿿]{2,}[\W\d_]+[^\W\d_㐀-鿿]{2,}")
+_CONTROL = re.compile(r"[\x00-\x07\x0b\x0e-\x1f]")
 
 
 def lengths(text: str) -> dict[str, int]:
     """Stored lengths of a text under each encoding."""
-    utf8 = len(text.encode("utf-8", "surrogatepass"))
+    n, wide, utf8 = len(text), 0, len(text)
+    if not text.isascii():
+        wide = sum(c > "\uffff" for c in text)
+        utf8 = len(text.encode("utf-8", "surrogatepass"))
+    odd = n - len(text.encode("ascii", "ignore"))
     lines = text.count("\n") - text.count("\r\n")
+    json = n + sum(text.count(c) for c in '"\\\n\r\t\b\f') + 5 * len(_CONTROL.findall(text))
     return {
-        "chars": len(text),
+        "chars": n,
         "utf8": utf8,
-        "utf16": len(text) + sum(ord(c) > 0xFFFF for c in text) if not text.isascii() else len(text),
-        "entities": len(html.escape(text, quote=True)),
-        "json": len(json.dumps(text, ensure_ascii=False)) - 2,
-        "json_ascii": len(json.dumps(text)) - 2,
-        "crlf": len(text) + lines,
+        "utf16": n + wide,
+        "entities": n + 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * (text.count('"') + text.count("'")),
+        "json": json,
+        "json_ascii": json + 5 * odd + 6 * wide,
+        "crlf": n + lines,
         "crlf_utf8": utf8 + lines,
     }
 
@@ -71,7 +76,7 @@ def _closes_all(line: str) -> bool:
 
 def inspect(text: str | None) -> tuple[str, E.Frame | None]:
     """("complete" | "cut" | "ask" | "odd", frame to be counted)."""
-    if not text or len(_WORDS.findall(text)) < MIN_WORDS:
+    if not text or not _TWO_WORDS.search(text):
         return "odd", None
     end = E.ending(text)
     if end.state in ("none", "closed"):
@@ -82,26 +87,30 @@ def inspect(text: str | None) -> tuple[str, E.Frame | None]:
     for i, pattern in enumerate(_WHOLE_LINE):
         if pattern.search(line) and (i != 6 or _closes_all(line)):
             return "complete", None
-    if len(text) != len(text.rstrip()) and re.search(r"[ \t]{2,}$", text) and len(_WORDS.findall(text)) < 12:
-        return "odd", None
     if E.hardly_begun(end.last, text) or E.goes_on_elsewhere(end.last, text):
         return "cut", None
     return "ask", end.frame
 
 
-def inspected(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, state, frame columns, lengths) of every document with text."""
+def inspected(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, state, frame columns, lengths) of every document, and the frames of all finished sentences with their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "source", "state", *FRAME, "lengths", "n"]
         for b in batches:
+            counts: E.Counter = E.Counter()
             rows = []
             for doc, source, text in zip(b["doc_id"], b["source"], b["text"]):
+                counts.update(E.finished(text))
                 state, f = inspect(text)
-                open_ended = state in ("cut", "ask")
-                rows.append((doc, source, state, *(f or (None,) * 5), "|".join(f"{k}:{v}" for k, v in lengths(E._MARK.sub("", text) if text else "").items()) if text and (open_ended or state == "complete") else ""))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "state", "language", "opener", "tail", "kind", "closer", "lengths"])
+                kept = lengths(E._MARK.sub("", text)) if state != "odd" else {}
+                rows.append((doc, source, state, *(f or (None,) * 5), "|".join(f"{k}:{v}" for k, v in kept.items()), None))
+            rows += [(None, None, None, *f, None, n) for f, n in counts.items()]
+            yield pd.DataFrame(rows, columns=columns)
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, state string, language string, opener string, tail string, kind string, closer string, lengths string")
+    both = documents.select("doc_id", "source", "text").mapInPandas(run, f"doc_id bigint, source string, state string, {', '.join(f'{c} string' for c in FRAME)}, lengths string, n bigint")
+    both = cut_lineage(both)  # the texts are read only once
+    return both.where("n is null").drop("n"), summed(both.where("n is not null").select(*FRAME, "n"))
 
 
 def hidden_limits(rows: DataFrame) -> DataFrame:
@@ -114,8 +123,7 @@ def hidden_limits(rows: DataFrame) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut, at_limit) of every document."""
-    rows = cut_lineage(inspected(documents))  # read three times below; the texts only once
-    counts = sentence_counts(documents.where("text is not null"), "text")
+    rows, counts = inspected(documents)
     limits = hidden_limits(rows).select("source", F.concat_ws(":", "encoding", "length").alias("l"))
     open_rows = rows.where("state in ('cut', 'ask')")
     asked = with_judgement(open_rows, counts).select("doc_id", "source", "state", "closer", "lengths", "cut")

@@ -3,7 +3,7 @@
 The model is counted over every finished sentence of the whole corpus: which words or kinds of token
 close one, and which closings follow which kind of opening. A last sentence without a full stop is
 complete if its last word closes sentences elsewhere and its frame does; else it was cut. Frames are
-made of function words, so the tables grow with the language, not with the data.
+made of function words, so the table of frames grows with the language; the table of closers holds last words.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
-#: A closing word must close so many finished sentences; a frame is judged if its opening has so many.
-CLOSERS, OPENERS, RARE_FRAME = 2, 20, 0.001
+#: A closing word must close so many finished sentences, and this share of all; a frame is judged if its opening has so many.
+CLOSERS, CLOSER_SHARE, OPENERS, RARE_FRAME = 2, 1e-6, 20, 0.001
 
 # Function words of English, German and French.
 _FUNCTION = set(
@@ -93,12 +93,12 @@ def sentences(text: str) -> list[str]:
     return [s for s in (x.strip() for x in _STOP.split(text)) if s]
 
 
-def finished(text: str | None) -> list[Frame]:
-    """Frames of the finished sentences of a text."""
+def finished(text: str | None, parts: list[str] | None = None) -> list[Frame]:
+    """Frames of the finished sentences of a text (``parts`` if they are known)."""
     if not text:
         return []
     out = []
-    for s in sentences(text):
+    for s in sentences(text) if parts is None else parts:
         if _CLOSED.search(s) and not _ABBREVIATED.search(s) and not _MARK.search(s) and (f := frame(s)):
             out.append(f)
     return out
@@ -110,6 +110,18 @@ class Ending(NamedTuple):
     frame: Frame | None
 
 
+def _last_sentence(core: str) -> str:
+    """The last of a text's sentences, looked for from its end."""
+    reach = 256
+    while reach < len(core):
+        tail = core[-reach:]
+        parts = sentences(tail)
+        if len(parts) > 1 and len(parts[-1]) < reach - 16:
+            return parts[-1]
+        reach *= 4
+    return sentences(core)[-1]
+
+
 def ending(text: str | None) -> Ending:
     """The last sentence of a text and how it stands."""
     if not text or not text.strip():
@@ -120,8 +132,8 @@ def ending(text: str | None) -> Ending:
     core = unmarked.rstrip()
     if not core:
         return Ending("none", "", None)
-    last = sentences(core)[-1]
-    if _CLOSED.search(core) and not _ABBREVIATED.search(core):
+    last = _last_sentence(core)
+    if _CLOSED.search(core[-64:]) and not _ABBREVIATED.search(core[-64:]):
         return Ending("closed", last, None)
     return Ending("marked" if marked else "open", last, frame(last))
 
@@ -161,10 +173,3 @@ def goes_on_elsewhere(last: str, text: str) -> bool:
         return True
     # a name that is always followed by the same noun
     return word[0].isupper() and word[1:].islower() and whole > 0 and len(followers) == 1 and "" not in followers and next(iter(followers)) not in _FUNCTION
-
-
-def judge(closer_n: float, opener_n: float, frame_n: float) -> bool:
-    """True if the counts say that the sentence was cut."""
-    if closer_n < CLOSERS:
-        return True
-    return opener_n >= OPENERS and frame_n <= opener_n * RARE_FRAME

@@ -58,6 +58,37 @@ def test_evidence_shows_an_early_stop():
     assert answers.stops_early("Another sentence here", ["The band gap."]) is None
 
 
+@pytest.mark.parametrize("answer,refuses", [
+    ("I cannot help, as Table 3 gives only 2 values.", True),
+    ("I cannot answer that. " + "The request is noted and will be kept. " * 300, True),
+    ("The load could not be determined by creep runs, since the cell froze at 41.", False),
+    ("The load could not be determined from the text.", True),
+    ("It is not stated for rod A; rod B carries 512 MPa.", False),
+])
+def test_refusals_of_any_length_and_with_numbers(answer, refuses):
+    assert answers.is_refusal("Which load does the rod carry?", answer) is refuses
+
+
+@pytest.mark.parametrize("answer", ["Legeringen sprack efter glödgning och tappade sin styrka.", "Stop pękł podczas wyżarzania i stracił swoją twardość.", "Alaşım tavlama sırasında çatladı ve sertliğini yitirdi.", "La aleación se agrietó durante el recocido y perdió dureza."])
+def test_languages_beyond_the_planted_ones(answer):
+    assert answers.is_foreign("Why did the alloy crack during the anneal?", answer, "The alloy cracked during the anneal.")
+
+
+def test_a_sound_short_answer_is_not_foreign():
+    assert not answers.is_foreign("Why did the alloy crack during the anneal?", "Trapped hydrogen gas", "The alloy cracked.")
+    assert not answers.is_foreign("Which phase is found at the seam of the alloy?", "brittle columnar laves phase platelets", "Brittle columnar laves phase platelets formed.")
+
+
+def test_an_open_bracket_before_a_full_stop_is_a_truncation():
+    assert answers.features("Why?", "It cracked (see the second run.", [])[1] == "yes"
+    assert answers.features("Why?", "It cracked (see the second run).", [])[1] == "no"
+
+
+def test_a_copied_prefix_is_a_copy():
+    q = "Why does the seam of the alloy crack when it is annealed in argon?"
+    assert answers.is_copy(q, q[: int(len(q) * 0.9)]) and not answers.is_copy(q, "The seam of the alloy cracks as hydrogen gathers there when it is annealed in argon.")
+
+
 # ---- 2: near duplicates ----------------------------------------------------------------------------------------
 
 
@@ -392,10 +423,25 @@ def test_lengths():
     assert got["chars"] == 3 and got["utf8"] == 4 and got["crlf"] == 4 and got["entities"] == 8 and got["json"] == 5
 
 
+@pytest.mark.parametrize("text", ["plain", 'a "b" <c> & \'d\'\n\te\r\n\x01', "naïve 高 𝄞\n", ""])
+def test_lengths_are_those_of_the_encodings(text):
+    import html
+    import json
+
+    got = cutoffs.lengths(text)
+    assert got["utf8"] == len(text.encode()) and got["utf16"] == len(text.encode("utf-16-le")) // 2
+    assert got["entities"] == len(html.escape(text)) and got["json"] == len(json.dumps(text, ensure_ascii=False)) - 2 and got["json_ascii"] == len(json.dumps(text)) - 2
+    assert got["crlf"] == len(text.replace("\r\n", "\n").replace("\n", "\r\n"))
+
+
+def test_short_texts_are_judged_too():
+    assert cutoffs.inspect("The alloy was anneal")[0] == "ask" and cutoffs.inspect("🙂 5")[0] == "odd"
+
+
 def test_hidden_limits(spark):
     rows = [(i, (BODY.format(i, i, i) * 9)[:500].strip()[:499], "a") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    found = cutoffs.hidden_limits(cutoffs.inspected(df)).collect()
+    found = cutoffs.hidden_limits(cutoffs.inspected(df)[0]).collect()
     assert all(r["open"] >= cutoffs.LIMIT_TEXTS for r in found)
 
 
