@@ -176,7 +176,7 @@ def unclosed(text: str) -> bool:
 
 def stops_early(answer: str, evidence: list[str]) -> bool | None:
     """True if the answer is the beginning of an evidence sentence that goes on, False if it is a whole one."""
-    last = E.sentences(E._MARK.sub("", answer.strip()))
+    last = E.sentences(E.unmarked(answer.strip()))
     if not last:
         return None
     mine = re.sub(r"\s+", " ", last[-1]).strip(" .。")

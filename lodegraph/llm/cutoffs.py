@@ -49,7 +49,7 @@ def lengths(text: str) -> dict[str, int]:
     """Stored lengths of a text under each encoding."""
     n, wide, utf8 = len(text), 0, len(text)
     if not text.isascii():
-        wide = sum(c > "\uffff" for c in text)
+        wide = len(text.encode("utf-16-le", "surrogatepass")) // 2 - n
         utf8 = len(text.encode("utf-8", "surrogatepass"))
     odd = n - len(text.encode("ascii", "ignore"))
     lines = text.count("\n") - text.count("\r\n")
@@ -103,7 +103,7 @@ def inspected(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             for doc, source, text in zip(b["doc_id"], b["source"], b["text"]):
                 counts.update(E.finished(text))
                 state, f = inspect(text)
-                kept = lengths(E._MARK.sub("", text)) if state != "odd" else {}
+                kept = lengths(E.unmarked(text)) if state != "odd" else {}
                 rows.append((doc, source, state, *(f or (None,) * 5), "|".join(f"{k}:{v}" for k, v in kept.items()), None))
             rows += [(None, None, None, *f, None, n) for f, n in counts.items()]
             yield pd.DataFrame(rows, columns=columns)

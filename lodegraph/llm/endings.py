@@ -29,6 +29,13 @@ _CLOSED = re.compile(r"[.!?。！？][\"'”’）)\]」]*$")
 _ABBREVIATED = re.compile(r"(?:^|[\s(])(?:Fig|Figs|Eq|Eqs|Tab|No|Vol|vs|ca|cf|e\.g|i\.e|al|Abb|Nr|z\.B)\.$|\s(?:at|of|to|reaches|by|bei|mit|etwa|auf|vaut|atteint|à)\s\d+\.$")
 
 
+def unmarked(text: str) -> str:
+    """A text without the ellipses or broken characters at its end."""
+    while (tail := text[-80:]) and (rest := _MARK.sub("", tail)) != tail:
+        text = text[: len(text) - len(tail)] + rest
+    return text
+
+
 class Frame(NamedTuple):
     language: str  # "han" or "letters"
     opener: str
@@ -64,7 +71,7 @@ def _kind(token: str, before: str | None) -> tuple[str, str]:
 def frame(sentence: str) -> Frame | None:
     """Opening and closing of one sentence, without its full stop."""
     sentence = sentence.strip().rstrip(".!?。！？\"'”’)]）」 ")
-    if len(_HAN.findall(sentence)) * 4 >= len(sentence) or _HAN.search(sentence[-2:] or ""):
+    if not sentence.isascii() and (len(_HAN.findall(sentence)) * 4 >= len(sentence) or _HAN.search(sentence[-2:])) or not sentence:
         clauses = re.split(r"[，；,;]", sentence)
         first, last = sentence[:1], clauses[-1]
         opener = first if _HAN.match(first) else "*"
@@ -82,8 +89,9 @@ def frame(sentence: str) -> Frame | None:
     tokens = _TOKEN.findall(sentence)
     if not tokens:
         return None
-    function = [t.lower() for t in tokens if t.lower() in _FUNCTION and (t.islower() or t[1:].islower() or len(t) == 1)]
-    lead = tokens[0].lower() if tokens[0].lower() in _FUNCTION else "*"
+    function = [low for t in tokens if (low := t.lower()) in _FUNCTION and (low == t or t[1:].islower() or len(t) == 1)]
+    first = tokens[0].lower()
+    lead = first if first in _FUNCTION else "*"
     rest = function[1:] if lead != "*" else function
     kind, closer = _kind(tokens[-1], tokens[-2] if len(tokens) > 1 else None)
     return Frame("letters", f"{lead} {rest[0] if rest else '-'}", " ".join(function[-2:]), kind, closer)
@@ -99,7 +107,8 @@ def finished(text: str | None, parts: list[str] | None = None) -> list[Frame]:
         return []
     out = []
     for s in sentences(text) if parts is None else parts:
-        if _CLOSED.search(s) and not _ABBREVIATED.search(s) and not _MARK.search(s) and (f := frame(s)):
+        end = s[-40:]
+        if _CLOSED.search(end) and not _ABBREVIATED.search(end) and not _MARK.search(end) and (f := frame(s)):
             out.append(f)
     return out
 
@@ -127,9 +136,9 @@ def ending(text: str | None) -> Ending:
     if not text or not text.strip():
         return Ending("none", "", None)
     core = text.strip()
-    unmarked = _MARK.sub("", core)
-    marked = unmarked != core
-    core = unmarked.rstrip()
+    bare = unmarked(core)
+    marked = bare != core
+    core = bare.rstrip()
     if not core:
         return Ending("none", "", None)
     last = _last_sentence(core)
@@ -140,7 +149,7 @@ def ending(text: str | None) -> Ending:
 
 def hardly_begun(last: str, text: str) -> bool:
     """Whether an open last sentence is one or two words (or two characters of Han) after a finished sentence in the same line."""
-    core = _MARK.sub("", text.strip()).rstrip()
+    core = unmarked(text.strip()).rstrip()
     before = core[: len(core) - len(last)].rsplit("\n", 1)[-1].rstrip()
     if not before or not core.endswith(last) or not _CLOSED.search(before):
         return False
