@@ -199,6 +199,25 @@ def test_every_node_has_a_row(spark):
     assert {tuple(r) for r in lookalikes.consistent_nodes(n).collect()} == {("a", "Keldoon 3", "T:keldoon_3"), ("b", "curing", "T:curing"), ("c", None, "T:x"), ("d", None, "T:x")}
 
 
+@pytest.mark.parametrize("seen,form", [
+    ("cтaль", "сталь"),  # Latin c and a in a Russian word
+    ("хор", "хор"), ("оса", "оса"),  # words of their own script, which Latin letters could write
+    ("сору of the text", "copy of the text"),  # the words around it are Latin
+    ("сору русского текста", "сору русского текста"),
+    ("ΑΒΓ δοκιμή", "ΑΒΓ δοκιμή"), ("Aθήνα", "Αθήνα"),  # Latin A in a Greek word
+    ("测得РCE的值", "测得PCE的值"),
+])
+def test_any_script_is_resolved(spark, seen, form):
+    table = lookalikes.Confusables(lookalikes.published(spark))
+    assert lookalikes.one_form(seen, table) == form
+    assert lookalikes.forms("РСE", table)[1] == lookalikes.forms("РСЕ", table)[1] == "PCE"
+
+
+def test_other_rows_decide_a_word_without_context(spark):
+    n = spark.createDataFrame([("a", "T", "оса"), ("b", "T", "РСЕ"), ("c", "T", "PCE"), ("d", "T", None), ("d", "T", None)], "node_id string, node_type string, content string")
+    assert {(r["node_id"], r["one_form"]) for r in lookalikes.consistent_nodes(n).collect()} == {("a", "оса"), ("b", "PCE"), ("c", "PCE"), ("d", None)}
+
+
 # ---- 4: scans --------------------------------------------------------------------------------------------------
 
 
