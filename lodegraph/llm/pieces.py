@@ -1,8 +1,9 @@
 """Problem 5: oversized texts cut into pieces at natural boundaries, with overlap.
 
-Offsets are code points. The sorted boundary array holds every place where a cut is natural, by
-kind; a prefix count over it makes "the last boundary at or under the limit" one binary search.
-Each piece starts with the last ``overlap`` characters of the piece before, or fewer where that
+Offsets are code points. A text is read as tokens (runs with and without white space or clause
+marks); the prefix sums of their lengths are their offsets. The sorted boundary arrays hold every
+place where a cut is natural, by kind, so the last boundary at or under the limit is one binary
+search. Each piece starts with the last ``overlap`` characters of the piece before, or fewer where that
 would begin inside a word. Where no boundary lies in reach the cut is hard.
 
 Defined results. Null and empty texts and texts within the limit give no pieces from ``cut_blocks``
@@ -15,7 +16,6 @@ result per block. Ties between boundary kinds go to the later cut of the better
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,13 +27,21 @@ LIMIT, OVERLAP = 1_500, 150
 KINDS = [re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+|[。！？]\s*|\n"), re.compile(r"[;；:]\s*|(?<=,)\s|，"), re.compile(r"\s+")]
 #: A better kind is taken only if it leaves the piece at least this full.
 FULL = 0.5
-#: A stretch that offers no place for a natural cut.
-SOLID = re.compile(r"[^\s。！？；，]+")
+#: The tokens: stretches that offer no place for a natural cut, and what stands between them.
+TOKEN = re.compile(r"([^\s。！？；，]+)|[\s。！？；，]+")
 
 
-def longest_solid(text: str) -> int:
-    """Length of the longest stretch without white space and sentence or clause marks."""
-    return max((m.end() - m.start() for m in SOLID.finditer(text)), default=0)
+def token_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the tokens' ends, which of them are solid)."""
+    found = [(m.end() - m.start(), m[1] is not None) for m in TOKEN.finditer(text)]
+    sizes = np.array([n for n, _ in found], dtype=np.int64)
+    return np.cumsum(sizes), np.array([x for _, x in found], dtype=bool)
+
+
+def is_forced(text: str, limit: int) -> bool:
+    """Whether a token that offers no natural cut is longer than a piece may be."""
+    ends, solid = token_offsets(text)
+    return bool((np.diff(ends, prepend=0)[solid] > limit).any())
 
 
 def boundaries(text: str) -> list[np.ndarray]:
@@ -94,17 +102,16 @@ def oversized(blocks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def cut_blocks(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(block_id, piece, start, end, content, hard, cut): every piece of every oversized block."""
+    """(block_id, address, piece, start, end, content, hard, cut): every piece of every oversized block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for block, text in zip(b["block_id"], b["content"]):
-                kind = "forced" if longest_solid(text) > limit else "natural"
-                rows += [(block, i, s, e, text[s:e], hard, kind) for i, (s, e, hard) in enumerate(cut_text(text, limit, overlap))]
-            yield pd.DataFrame(rows, columns=["block_id", "piece", "start", "end", "content", "hard", "cut"])
+    @F.pandas_udf("forced boolean, pieces array<struct<start:int,end:int,hard:boolean>>")
+    def cuts(texts: pd.Series) -> pd.DataFrame:
+        rows = [(is_forced(t, limit), [{"start": s, "end": e, "hard": h} for s, e, h in cut_text(t, limit, overlap)]) for t in texts]
+        return pd.DataFrame(rows, columns=["forced", "pieces"])
 
-    return oversized(blocks, limit).select("block_id", "content").mapInPandas(run, "block_id string, piece int, start int, end int, content string, hard boolean, cut string")
+    each = oversized(blocks, limit).withColumn("c", cuts("content")).select("block_id", "address", "content", "c.forced", F.posexplode("c.pieces").alias("piece", "p"))
+    text = F.substring("content", F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
+    return each.select("block_id", "address", "piece", "p.start", "p.end", text.alias("content"), "p.hard", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
 
 def found_cuts(blocks: DataFrame) -> DataFrame:
@@ -112,8 +119,7 @@ def found_cuts(blocks: DataFrame) -> DataFrame:
 
 
 def addressed_pieces(blocks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces as blocks of their own, with "start-end" in address.span."""
-    empty = F.from_json(F.lit("{}"), blocks.schema["address"].dataType)  # a block without an address still gets its pieces' places
-    address = oversized(blocks, limit).select("block_id", F.coalesce("address", empty).alias("address"))
+    """Pieces as blocks of their own, with "start-end" in address.span; also of a block without an address."""
+    empty = F.from_json(F.lit("{}"), blocks.schema["address"].dataType)
     pieces = cut_blocks(blocks, limit, overlap)
-    return pieces.join(address, "block_id").withColumn("address", F.col("address").withField("span", F.concat_ws("-", "start", "end")))
+    return pieces.withColumn("address", F.coalesce("address", empty).withField("span", F.concat_ws("-", "start", "end")))
