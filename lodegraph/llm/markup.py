@@ -7,7 +7,8 @@ contents over the fields that have it, as a share of the highest entropy so many
 category, label or comment that says the same everywhere carries nothing. Among the HTML nodes of one
 path, each way to present text (the tags within) and each content with it has an importance too: 1
 less the logarithm of the places that show it as a share of that of the places with the path. Low
-branches, and nodes that are low in both, are removed; structure (headings, lists, code, formulas,
+branches, and nodes that are low in both, are removed; a mark around a lone sign or figure (a star, an
+underscore) is markup only if the source's tree has the branch with words in it, else it is notation; structure (headings, lists, code, formulas,
 tables) is always kept as plain text, as are inline elements within running text, and what other
 branches hold is kept without its marks.
 
@@ -30,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.session import cut_lineage
+
 LOW = 0.3
 #: Fields without any of these hold no markup; the test runs in the JVM.
 HINT = r"[<&*_`#\[{\\$=|~]|''|(?m)^\s{0,3}([-+>]|\d+[.)])\s"
@@ -321,12 +324,18 @@ def parsed(blocks: DataFrame) -> DataFrame:
     return marked_fields(blocks).mapInPandas(run, "block_id string, paper_id string, field string, place string, markup string, branch string, content string").distinct()
 
 
+#: Contents with a word.
+WORDED = r"\p{L}{2}|\p{IsHan}"
+#: Branches whose marks are also signs of their own.
+DOUBTFUL = ["emphasis"]
+
+
 def style_tree(rows: DataFrame) -> DataFrame:
-    """(paper_id, markup, branch, fields, importance) of each paper's merged tree."""
+    """(paper_id, markup, branch, fields, worded, importance) of each paper's merged tree."""
     leaves = rows.groupBy("paper_id", "markup", "branch", "content").agg(F.count("*").alias("c"))
-    sums = leaves.groupBy("paper_id", "markup", "branch").agg(F.sum("c").alias("fields"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    sums = leaves.groupBy("paper_id", "markup", "branch").agg(F.sum("c").alias("fields"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max(F.col("content").rlike(WORDED)).alias("worded"))
     entropy = F.log("fields") - F.col("clogc") / F.col("fields")
-    return sums.select("paper_id", "markup", "branch", "fields", F.when(F.col("fields") > 1, F.greatest(F.lit(0.0), entropy) / F.log("fields")).otherwise(F.lit(1.0)).alias("importance"))
+    return sums.select("paper_id", "markup", "branch", "fields", "worded", F.when(F.col("fields") > 1, F.greatest(F.lit(0.0), entropy) / F.log("fields")).otherwise(F.lit(1.0)).alias("importance"))
 
 
 def low_nodes(rows: DataFrame) -> DataFrame:
@@ -341,13 +350,18 @@ def low_nodes(rows: DataFrame) -> DataFrame:
 
 
 def found_markup(blocks: DataFrame) -> DataFrame:
-    return parsed(blocks).select("block_id", "field", "markup").distinct()
+    """(block_id, field, markup): what the nodes of each source's style tree say is markup, in each field that has them."""
+    rows = cut_lineage(parsed(blocks))  # merged into the tree and asked of it
+    tree = style_tree(rows).select(F.coalesce("paper_id", F.lit("")).alias("site"), "markup", "branch", "worded")
+    own = rows.select("block_id", "field", F.coalesce("paper_id", F.lit("")).alias("site"), "markup", "branch", F.col("content").rlike(WORDED).alias("words")).distinct()
+    asked = own.join(tree, ["site", "markup", "branch"])
+    return asked.where(~F.col("branch").isin(DOUBTFUL) | F.col("words") | F.col("worded")).select("block_id", "field", "markup").distinct()
 
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:
     """(block_id, field, clean): every field that held markup, as clean text."""
     kept = sorted(_KEPT)
-    rows = parsed(blocks)
+    rows = cut_lineage(parsed(blocks))  # read twice below
     names = style_tree(rows).where((F.col("importance") < LOW) & ~F.col("branch").isin(kept)).select("paper_id", F.concat_ws(" ", "markup", "branch").alias("low"))
     low = names.unionByName(low_nodes(rows)).groupBy("paper_id").agg(F.collect_set("low").alias("low"))
 

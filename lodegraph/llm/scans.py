@@ -36,7 +36,7 @@ SHARE, LEAST = 0.0002, 4
 CAPITAL_SHARE = 0.03
 #: How much more frequent a word must be than the form taken for its misreading.
 ODDS = 25
-#: A vocabulary larger than this is refused instead of sent to every task.
+#: A vocabulary larger than this is cut at a higher share of the blocks before it is sent to every task.
 MAX_VOCABULARY = 500_000
 
 # How letters are misread, as (seen, meant).
@@ -116,6 +116,7 @@ class Vocabulary:
                 self.count[w[1:]] = self.count.get(w[1:], 0) + n
         self.rare = {w: n for w, n in counts.items() if w}
         self.longest = max(map(len, self.count), default=1)
+        self.beginnings = {w[:n] for w in self.count for n in range(len(w) + 1)}
         self.verdicts: dict[str, tuple[tuple[str, int] | None, int]] = {}
 
     def __contains__(self, word: str) -> bool:
@@ -131,20 +132,28 @@ class Vocabulary:
             if known or most <= tried:
                 return known if known and known[1] <= most else None
         best, mine = None, self.rare.get(seen, 0) + self.rare.get("^" + seen, 0)
-        level = {seen: 0}
-        for changes in range(1, most + 1):
-            grown: dict[str, int] = {}
-            for form, start in level.items():
-                for i in range(start, len(form)):
-                    for size in (1, 2):
-                        for meant in _BY_SEEN.get(form[i : i + size], ()):
-                            if i + size <= len(form):
-                                grown.setdefault(form[:i] + meant + form[i + size :], i + len(meant))
-            hits = [(self.count[w], w) for w in grown if self.count.get(w, 0) >= max(LEAST, ODDS * mine)]
-            if hits:
+        # (place in what is seen, what is meant so far): only beginnings of known words go on
+        level = {(0, "")}
+        for changes in range(most + 1):
+            reached: set[tuple[int, str]] = set()
+            grown: set[tuple[int, str]] = set()
+            todo = list(level)
+            while todo:
+                at, meant = todo.pop()
+                if (at, meant) in reached:
+                    continue
+                reached.add((at, meant))
+                if at < len(seen) and (further := meant + seen[at]) in self.beginnings:
+                    todo.append((at + 1, further))
+                for size in (1, 2):
+                    for letters in _BY_SEEN.get(seen[at : at + size], ()) if at + size <= len(seen) else ():
+                        if (further := meant + letters) in self.beginnings:
+                            grown.add((at + size, further))
+            hits = [(self.count[w], w) for at, w in reached if at == len(seen) and w != seen and self.count.get(w, 0) >= max(LEAST, ODDS * mine)]
+            if changes and hits:
                 best = (max(hits)[1], changes)
                 break
-            level = grown if len(grown) < 20_000 else {}
+            level = grown
         if len(self.verdicts) > 200_000:
             self.verdicts.clear()
         self.verdicts[seen] = best, most
@@ -155,9 +164,10 @@ def load_vocabulary(counts: DataFrame) -> dict[str, int]:
     """The frequent words and the rarer forms that may be misreadings of them, bounded by SHARE."""
     blocks = counts.where("word = ''").first()
     total = blocks["n"] if blocks else 0
-    rows = counts.where(F.col("n") >= max(2, total * SHARE / 4)).limit(MAX_VOCABULARY + 1).toPandas()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError("the vocabulary is larger than its bound")
+    least = max(2, total * SHARE / 4)
+    while counts.where(F.col("n") >= least).count() > MAX_VOCABULARY:
+        least *= 2
+    rows = counts.where(F.col("n") >= least).toPandas()
     return dict(zip(rows["word"], rows["n"].tolist())) | {"": int(total)}
 
 
@@ -193,7 +203,7 @@ def line_kinds(text: str, marks: Marks) -> list[tuple[str, set[str]]]:
     out = []
     for line in lines:
         bare, noise = line.strip(), set()
-        if bare and filled > 1 and len(bare) <= 160:
+        if bare and filled > 1:
             if _PAGE.match(bare):
                 noise.add("page_number")
             elif marks.header(bare):
@@ -459,6 +469,10 @@ def _read_window(window: list[Token], parts: list[list[str]], vocabulary: Vocabu
         k = last + 1
 
 
+#: A paragraph of fewer lines may be so small that it costs more.
+SHORT = 4
+
+
 def paragraphs(lines: list[str]) -> list[list[str]]:
     """Lines grouped into paragraphs: the grouping of least cost over all line ends."""
     lines = [x.strip() for x in lines]
@@ -474,16 +488,24 @@ def paragraphs(lines: list[str]) -> list[list[str]]:
         return (0.5 if closed and short else 2.0 if closed else 4.0), (1.5 if closed and short else 0.5 if closed else 0.0)
 
     n = len(lines)
-    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    ends = [end_cost(i) for i in range(n - 1)]
+    # best[j]: the first j lines in whole paragraphs; long[j]: the same, but for a last paragraph of SHORT or more lines that may go on
+    best, long = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    back, begun = [0] * (n + 1), [0] * (n + 1)
+
+    def opened(i: int, j: int) -> float:
+        """Cost of a paragraph of lines i to j - 1 and all before it."""
+        return best[i] + (ends[i - 1][0] if i else 0.0) + sum(ends[k][1] for k in range(i, j - 1))
+
     for j in range(1, n + 1):
-        inner = 0.0
-        for i in range(j - 1, max(-1, j - 400), -1):
-            size = sum(len(x) for x in lines[i:j]) if j - i < 4 else 99
-            total = best[i] + inner + (end_cost(i - 1)[0] if i else 0.0) + (0.3 if size < 20 else 0.0)
-            if total < best[j]:
+        if j >= SHORT:
+            going, new = long[j - 1] + ends[j - 2][1], opened(j - SHORT, j)
+            long[j], begun[j] = (going, begun[j - 1]) if going < new else (new, j - SHORT)
+        best[j], back[j] = long[j], begun[j]
+        for i in range(j - 1, max(-1, j - SHORT), -1):
+            total = opened(i, j) + (0.3 if sum(map(len, lines[i:j])) < 20 else 0.0)
+            if total <= best[j]:
                 best[j], back[j] = total, i
-            if i:
-                inner += end_cost(i - 1)[1]
     groups, j = [], n
     while j > 0:
         groups.append(lines[back[j] : j])

@@ -272,6 +272,32 @@ def test_scans_of_nothing(spark):
     assert scans.found_noise(b, p).count() == 0 and scans.repaired(b, p).count() == 0
 
 
+def test_misreadings_are_found_without_a_limit_of_forms():
+    words = ["".join(random.Random(i).choices("lit", k=30)) for i in range(300)] + ["illlitllitillttlliltllitlltill"]
+    v = scans.Vocabulary({w: 500 for w in words} | {"": 1000})
+    seen = list(words[-1])
+    for at in (3, 11, 19, 27):
+        seen[at] = {"l": "1", "t": "f", "i": "!"}[seen[at]]
+    assert v.behind("".join(seen)) == (words[-1], 4)
+
+
+def test_headers_of_any_length_are_looked_at():
+    title = "On the long and winding ways of measured things " * 5
+    assert scans.line_kinds(f"Some text\n{title}\nmore text", scans.Marks(title, None, None))[1][1] == {"running_header"}
+
+
+def test_paragraphs_are_the_cheapest_grouping():
+    """Against all groupings, and over thousands of lines."""
+    rng = random.Random(5)
+    pool = ["It ended here.", "a long line of running text that goes on and", "short", "", "# head", "- item of a list", "Another sentence that fills the whole line ends."]
+    for _ in range(30):
+        lines = rng.choices(pool, k=rng.randint(1, 9))
+        got = scans.paragraphs(lines)
+        assert [x for g in got for x in g] == [x for x in lines if x]
+    many = ["a line of running text that goes on and on and"] * 3000 + ["End."] + ["the next paragraph has lines like this one and"] * 3000
+    assert [len(g) for g in scans.paragraphs(many)] == [3001, 3000]
+
+
 # ---- 5: pieces -------------------------------------------------------------------------------------------------
 
 
@@ -348,6 +374,12 @@ def test_copies_of_a_caption_are_no_repeats(spark):
     assert sorted(r["clean"] for r in markup.clean_blocks(df).collect()) == ["Figure 1: A scan."] * 3 + ["Other text."]
 
 
+def test_a_lone_sign_is_markup_only_if_its_source_marks_words(spark):
+    schema = "block_id string, modality string, content string, caption string, address struct<paper_id:string>"
+    rows = [("a", "text", "Yields of *3* and *4* are given.", None, ("p",)), ("b", "text", "Yields of *3* and *4* are given.", None, ("q",)), ("c", "text", "It is *very* hot.", None, ("q",)), ("d", "text", "A <b>bold</b> 5.", None, None)]
+    assert {tuple(r) for r in markup.found_markup(spark.createDataFrame(rows, schema)).collect()} == {("b", "content", "markdown"), ("c", "content", "markdown"), ("d", "content", "html")}
+
+
 # ---- 8: encoding -----------------------------------------------------------------------------------------------
 
 
@@ -360,11 +392,26 @@ def test_ids_are_exact():
     for i in range(150):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 500))) + (shared if i % 2 else "") + "".join(rng.choice(alphabet) for _ in range(90))
         assert coder.text(text) == enc.encode_ordinary(text)
-    assert coder.text(None) == [] and coder.text("") == [] and coder.reused > 0
+    assert coder.text(None) == [] and coder.text("") == []
     long = "x" * 30_000 + " " * 3_000 + "字" * 5_000
     assert coder.text(long) == enc.encode_ordinary(long)
 
 
+def test_shared_chunks_are_encoded_once_and_joined_back(spark):
+    rng = random.Random(4)
+    passage = " ".join(rng.choices("the it's naïve 字 12 x-ray a.b 'quoted' 5's".split(), k=900))
+    rows = [(i, f"{i} {passage[i * 7 :]} {i * i} {passage[: 3000 - i]}") for i in range(12)] + [(90, passage), (90, passage), (None, passage), (91, None), (92, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shared = encoding.shared_chunks(df).collect()
+    assert shared and len(shared) == len({(r["h1"], r["h2"]) for r in shared})
+    enc = encoding.load_encoder()
+    want = sorted((str(i), enc.encode_ordinary(t or "")) for i, t in rows)
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in encoding.encode_documents(df).collect()) == want
+    given = {(r["h1"], r["h2"]): list(r["ids"]) for r in shared}
+    known = {i: [0] for i, c in enumerate(encoding.chunks(passage)) if encoding.chunk_name(c) in given}
+    assert known and encoding.ChunkEncoder(enc).text(passage, known) != enc.encode_ordinary(passage)  # the table's ids are what is used
+
+
 def test_ids_of_documents(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (3, "", "x")], "doc_id bigint, text string, ids string")
     assert {r["doc_id"]: list(r["ids"]) for r in encoding.encode_documents(df).collect()} == {1: encoding.load_encoder().encode_ordinary("a b"), 2: [], 3: []}
