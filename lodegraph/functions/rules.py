@@ -223,3 +223,97 @@ def token_count(c: Column | str) -> Column:
 
 def refusal(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(text(c)), "[。.]+$", "").isin(REFUSALS)
+
+
+# Dimension, factor and offset to the base unit of each unit (base = value * factor + offset).
+UNIT_DIMENSIONS = {
+    "%": ("ratio", 0.01, 0.0), "wt%": ("ratio", 0.01, 0.0), "wt.%": ("ratio", 0.01, 0.0), "at%": ("ratio", 0.01, 0.0), "at.%": ("ratio", 0.01, 0.0),
+    "K": ("temperature", 1.0, 0.0), "°C": ("temperature", 1.0, 273.15), "℃": ("temperature", 1.0, 273.15),
+    "nm": ("length", 1e-9, 0.0), "µm": ("length", 1e-6, 0.0), "um": ("length", 1e-6, 0.0), "mm": ("length", 1e-3, 0.0), "cm": ("length", 1e-2, 0.0), "m": ("length", 1.0, 0.0),
+    "kg": ("mass", 1.0, 0.0), "g": ("mass", 1e-3, 0.0), "mg": ("mass", 1e-6, 0.0),
+    "Pa": ("pressure", 1.0, 0.0), "kPa": ("pressure", 1e3, 0.0), "MPa": ("pressure", 1e6, 0.0), "GPa": ("pressure", 1e9, 0.0),
+    "eV": ("energy", 1.602176634e-19, 0.0), "meV": ("energy", 1.602176634e-22, 0.0), "J": ("energy", 1.0, 0.0),
+    "mol/L": ("concentration", 1e3, 0.0), "mol": ("amount", 1.0, 0.0), "mAh/g": ("specific charge", 3600.0, 0.0),
+    "mA": ("current", 1e-3, 0.0), "A": ("current", 1.0, 0.0), "V": ("voltage", 1.0, 0.0), "W": ("power", 1.0, 0.0),
+    "Hz": ("frequency", 1.0, 0.0), "MHz": ("frequency", 1e6, 0.0), "GHz": ("frequency", 1e9, 0.0),
+    "s": ("time", 1.0, 0.0), "min": ("time", 60.0, 0.0), "h": ("time", 3600.0, 0.0),
+}
+
+
+def _of_unit(c: Column, at: int) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for unit, facts in UNIT_DIMENSIONS.items() for x in (unit, facts[at])]), F.trim(c))
+
+
+def dimension(c: Column | str) -> Column:
+    """The dimension of a unit, null if it isn't known."""
+    return _of_unit(F.col(c) if isinstance(c, str) else c, 0)
+
+
+def converted(value: Column | str, source: Column | str, target: Column | str) -> Column:
+    """A value in another unit of the same dimension, else null."""
+    value, source, target = (F.col(x) if isinstance(x, str) else x for x in (value, source, target))
+    base = value * _of_unit(source, 1) + _of_unit(source, 2)
+    return F.when(dimension(source) == dimension(target), (base - _of_unit(target, 2)) / _of_unit(target, 1))
+
+
+def compatible(a: Column | str, b: Column | str) -> Column:
+    """Whether two units can be converted; units without a known dimension must be the same. An empty one goes only with an empty one."""
+    a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (a, b))
+    return F.when((a == "") | (b == ""), a == b).otherwise(F.coalesce(dimension(a) == dimension(b), normal_unit(a) == normal_unit(b)))
+
+
+def meaningful_attribute(c: Column | str) -> Column:
+    return ~symbolic(c) & ~stopword(c)
+
+
+def locate_sentence(content: Column | str, sentences_: Column) -> Column:
+    """The index, as text, of the first sentence that holds the beginning of a content; null if none does."""
+    head = F.substring(text(content), 1, 20)
+    at = F.array_position(F.transform(sentences_, lambda s: F.contains(s, head)), F.lit(True))
+    return F.when((head != "") & (at > 0), (at - 1).cast("string"))
+
+
+def cooccur_scope(a: Column | str, b: Column | str, sentences_: Column, in_caption: Column) -> Column:
+    """same_caption, same_sentence if one sentence holds the beginnings of both contents, else same_chunk."""
+    ha, hb = F.substring(F.coalesce(F.col(a) if isinstance(a, str) else a, F.lit("")), 1, 20), F.substring(F.coalesce(F.col(b) if isinstance(b, str) else b, F.lit("")), 1, 20)
+    together = (ha != "") & (hb != "") & F.exists(F.coalesce(sentences_, F.array().cast("array<string>")), lambda s: F.contains(s, ha) & F.contains(s, hb))
+    return F.when(in_caption, "same_caption").when(F.coalesce(together, F.lit(False)), "same_sentence").otherwise("same_chunk")
+
+
+RANGE = r"([-+]?[0-9]+(?:\.[0-9]+)?)\s*[~～\-–—]\s*([-+]?[0-9]+(?:\.[0-9]+)?)"
+
+
+def number_range(c: Column | str) -> Column:
+    """struct<low, high> of a written range, else null."""
+    c = F.col(c) if isinstance(c, str) else c
+    a, b = (F.regexp_extract(c, RANGE, i).try_cast("double") for i in (1, 2))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")))
+
+
+def reproduced(gold: Column, said: Column) -> Column:
+    """Whether an answer's numbers reproduce a number, or a range: a number in it (2 % margins) or both of its ends."""
+    numbers_ = F.filter(F.transform(said, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    r = number_range(gold)
+    inside = F.exists(numbers_, lambda x: x.between(r["low"] * 0.98, r["high"] * 1.02))
+    near = lambda end: F.exists(numbers_, lambda x: F.when(end == 0, F.abs(x) < 1e-9).otherwise(F.abs(x - end) / F.abs(end) <= 0.02))
+    single = F.exists(said, lambda x: F.coalesce(close_numbers(x, gold), F.lit(False)))
+    return F.coalesce(F.when(r.isNotNull(), inside | (near(r["low"]) & near(r["high"]))).otherwise(single), F.lit(False))
+
+
+def evidence_lines(spans: Column | str) -> Column:
+    """Evidence as lines "[node] (paper/section/chunk) content"."""
+    part = lambda s, k: F.coalesce(s["address"][k], F.lit(""))
+    line = lambda s: F.concat(F.lit("["), F.coalesce(s["node_id"], F.lit("")), F.lit("] ("), F.concat_ws("/", part(s, "paper_id"), part(s, "section_path"), part(s, "chunk_id")), F.lit(") "), F.coalesce(s["content"], F.lit("")))
+    return F.coalesce(F.array_join(F.transform(F.col(spans) if isinstance(spans, str) else spans, line), "\n"), F.lit(""))
+
+
+def log_probability(c: Column | str) -> Column:
+    """ln of a probability; null unless it is above 0."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c > 0, F.log(c))
+
+
+def cell_address(address: Column | str, row: Column | str, col: Column | str) -> Column:
+    """An address with the place of a table cell as its span."""
+    address, row, col = (F.col(x) if isinstance(x, str) else x for x in (address, row, col))
+    return address.withField("span", F.concat(F.lit("r"), row.cast("string"), F.lit("c"), col.cast("string")))

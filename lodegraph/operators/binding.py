@@ -7,7 +7,7 @@ give no row, or a null where a row is asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
@@ -28,28 +28,59 @@ def values_via_attribute(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def value_units(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(value, unit): the unit of every value node, its own first, else that of its column; empty if none."""
+    """(value, unit_node, unit): the unit node of every value node and its text, its own first, else its column's; null and empty if none."""
     n = unique_nodes(nodes)
-    names = n.select(F.col("node_id").alias("target"), R.text("content").alias("unit"))
-    own = _edges(nodes, edges, "has_unit").join(names, "target").groupBy("source").agg(F.min_by("unit", "edge_ord").alias("own"))
-    column = _edges(nodes, edges, "has_unit", only_eligible=False).join(names, "target").groupBy("source").agg(F.min_by("unit", "edge_ord").alias("unit"))
+    units = n.where("node_type = 'UnitNode'").select(F.col("node_id").alias("target"), F.struct(F.col("node_id").alias("node"), R.text("content").alias("text")).alias("u"))
+    own = _edges(nodes, edges, "has_unit").join(units, "target").groupBy(F.col("source").alias("value")).agg(F.min_by("u", "edge_ord").alias("own"))
+    column = _edges(nodes, edges, "has_unit", only_eligible=False).join(units, "target").groupBy("source").agg(F.min_by("u", "edge_ord").alias("u"))
     attributes = n.where("node_type = 'AttributeNode'").select(F.col("node_id").alias("source"))
-    into = _edges(nodes, edges, "has_value", only_eligible=False).join(attributes, "source", "left_semi").join(column, "source").groupBy("target").agg(F.min_by("unit", "edge_ord").alias("column"))
+    into = _edges(nodes, edges, "has_value", only_eligible=False).join(attributes, "source", "left_semi").join(column, "source").groupBy(F.col("target").alias("value")).agg(F.min_by("u", "edge_ord").alias("column"))
     values = n.where("node_type = 'ValueNode'").select(F.col("node_id").alias("value"))
-    return values.join(own.withColumnRenamed("source", "value"), "value", "left").join(into.withColumnRenamed("target", "value"), "value", "left").select("value", F.coalesce("own", "column", F.lit("")).alias("unit"))
+    found = F.coalesce("own", "column")
+    return values.join(own, "value", "left").join(into, "value", "left").select("value", found["node"].alias("unit_node"), F.coalesce(found["text"], F.lit("")).alias("unit"))
+
+
+def table_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(row, column, cell, place): the cells that a table row points to, by the attribute whose value they are; a column's first cell counts."""
+    attributes = unique_nodes(nodes).where("node_type = 'AttributeNode'").select(F.col("node_id").alias("column"))
+    e = present_edges(edges, nodes)
+    columns = e.where("edge_type = 'has_value'").select(F.col("source").alias("column"), F.col("target").alias("cell"), F.col("edge_ord").alias("into")).join(attributes, "column", "left_semi").groupBy("cell").agg(F.min_by("column", "into").alias("column"))
+    cells = e.select(F.col("source").alias("row"), F.col("target").alias("cell"), F.col("edge_ord").alias("place")).join(columns, "cell")
+    return cells.groupBy("row", "column").agg(F.min_by("cell", "place").alias("cell"), F.min("place").alias("place"))
+
+
+def owning_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, row): each node as a table row: itself if it has cells, else the first row that points to it, else itself."""
+    rows = table_rows(nodes, edges).select(F.col("row")).distinct()
+    into = present_edges(edges, nodes).where(F.col("edge_type").isin("compares", "co_occurs_with")).select(F.col("target").alias("node_id"), F.col("source").alias("row"), "edge_ord").join(rows, "row", "left_semi").groupBy("node_id").agg(F.min_by("row", "edge_ord").alias("above"))
+    own = rows.select(F.col("row").alias("node_id"), F.lit(True).alias("own"))
+    n = unique_nodes(nodes).select("node_id")
+    return n.join(own, "node_id", "left").join(into, "node_id", "left").select("node_id", F.when(F.coalesce("own", F.lit(False)), F.col("node_id")).otherwise(F.coalesce("above", "node_id")).alias("row"))
+
+
+def row_metrics(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, metric, cell_a, cell_b): of each pair of rows the column that both have: ``prefer`` if it is one, else the first of a's with a digit in its cell, else the first."""
+    cells = table_rows(nodes, edges)
+    text = unique_nodes(nodes).select(F.col("node_id").alias("cell_a"), R.text("content").alias("said"))
+    if "prefer" not in pairs.columns:
+        pairs = pairs.withColumn("prefer", F.lit(None).cast("string"))
+    a = cells.select(F.col("row").alias("a"), F.col("column").alias("metric"), F.col("cell").alias("cell_a"), "place")
+    b = cells.select(F.col("row").alias("b"), F.col("column").alias("metric"), F.col("cell").alias("cell_b"))
+    both = pairs.select("a", "b", "prefer").distinct().join(a, "a").join(b, ["b", "metric"]).join(text, "cell_a", "left")
+    order = F.struct((F.col("metric") != F.coalesce("prefer", F.lit(""))), ~F.coalesce(F.col("said").rlike("[0-9]"), F.lit(False)), F.col("place"), F.col("metric"))
+    best = both.groupBy("a", "b").agg(F.min_by(F.struct("metric", "cell_a", "cell_b"), order).alias("m"))
+    return best.select("a", "b", "m.metric", "m.cell_a", "m.cell_b")
 
 
 def shared_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, attribute, value_a, value_b): concept pairs of one chunk that have a value for an attribute of the same identity."""
+    """(chunk_id, metric, object, value, objects): the objects of one chunk that have a value for an attribute of the same identity, and how many they are; the pairs are those of one group."""
     chains = values_via_attribute(nodes, edges)
     n = unique_nodes(nodes)
     attribute = n.select(F.col("node_id").alias("attribute"), F.col("canonical_id").alias("metric"), F.col("address.chunk_id").alias("chunk_id"))
-    rows = chains.join(attribute, "attribute").where("metric is not null and chunk_id is not null")
-    w = Window.partitionBy("chunk_id", "metric", "object").orderBy("attribute", "value")
-    first = rows.withColumn("r", F.row_number().over(w)).where("r = 1")
-    a = first.select("chunk_id", "metric", F.col("object").alias("a"), F.col("value").alias("value_a"))
-    b = first.select("chunk_id", "metric", F.col("object").alias("b"), F.col("value").alias("value_b"))
-    return a.join(b, ["chunk_id", "metric"]).where("a < b").select("a", "b", "metric", "value_a", "value_b")
+    rows = chains.join(attribute, "attribute").where("metric is not null and metric != '' and chunk_id is not null")
+    members = rows.groupBy("chunk_id", "metric", "object").agg(F.min_by("value", F.struct("attribute", "value")).alias("value"))
+    shared = members.groupBy("chunk_id", "metric").agg(F.count("*").alias("objects")).where("objects > 1")
+    return members.join(shared, ["chunk_id", "metric"]).select("chunk_id", "metric", "object", "value", "objects")
 
 
 def peers(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -95,11 +95,14 @@ def pair_semantics() -> list[tuple[str, str, str, bool]]:
 def rule_completion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, edge_type): pairs of points of one chunk that a rule links and no edge links yet."""
     n = unique_nodes(nodes).where("address.chunk_id is not null").where(~F.col("node_type").isin(R.STRUCTURAL)).select("node_id", "node_type", "node_ord", F.col("address.chunk_id").alias("chunk_id"))
-    a = n.select("chunk_id", F.col("node_id").alias("a"), F.col("node_type").alias("ta"), F.col("node_ord").alias("oa"))
+    # the types that a rule links a point to come first, so only pairs that a rule links are ever made
+    wanted: dict[str, list[Column]] = {}
+    for ta, tb, edge, flip in pair_semantics():
+        wanted.setdefault(ta, []).append(F.struct(F.lit(tb).alias("tb"), F.lit(edge).alias("edge_type"), F.lit(flip).alias("flip")))
+    rules = F.create_map(*[x for ta, options in wanted.items() for x in (F.lit(ta), F.array(*options))])
+    a = n.select("chunk_id", F.col("node_id").alias("a"), F.col("node_ord").alias("oa"), F.explode(F.try_element_at(rules, F.col("node_type"))).alias("r")).select("chunk_id", "a", "oa", "r.tb", "r.edge_type", "r.flip")
     b = n.select("chunk_id", F.col("node_id").alias("b"), F.col("node_type").alias("tb"), F.col("node_ord").alias("ob"))
-    spark = nodes.sparkSession
-    rules = spark.createDataFrame(pair_semantics(), "ta string, tb string, edge_type string, flip boolean")
-    pairs = a.join(b, "chunk_id").where("oa < ob").join(F.broadcast(rules), ["ta", "tb"])
+    pairs = a.join(b, ["chunk_id", "tb"]).where("oa < ob")
     linked = unique_edges(edges).select(F.array_sort(F.array("source", "target")).alias("ends")).distinct()
     fresh = pairs.withColumn("ends", F.array_sort(F.array("a", "b"))).join(linked, "ends", "left_anti")
     return fresh.select(F.when(F.col("flip"), F.col("b")).otherwise(F.col("a")).alias("source"), F.when(F.col("flip"), F.col("a")).otherwise(F.col("b")).alias("target"), "edge_type", "chunk_id")
@@ -110,7 +113,8 @@ def cross_modal_references(blocks: DataFrame, kind: str) -> DataFrame:
     modality = {"figure": "figure", "table": "table", "equation": "formula"}[kind]
     b = blocks.dropDuplicates(["block_id"])
     texts = b.where("modality = 'text'").select(F.col("address.chunk_id").alias("source"), F.col("address.paper_id").alias("paper_id"), F.explode(F.array_distinct(R.references("content", kind))).alias("label"))
-    targets = b.where(F.col("modality") == modality).where("extra.label is not null").groupBy(F.col("address.paper_id").alias("paper_id"), F.col("extra.label").alias("label")).agg(F.max("address.chunk_id").alias("target"))
+    written = F.struct("created_at", "block_id") if "created_at" in blocks.columns else F.struct("block_id")
+    targets = b.where(F.col("modality") == modality).where("extra.label is not null and extra.label != ''").groupBy(F.col("address.paper_id").alias("paper_id"), F.col("extra.label").alias("label")).agg(F.max_by("address.chunk_id", written).alias("target"))
     return texts.join(targets, ["paper_id", "label"]).select("source", "target", "label").distinct()
 
 
@@ -205,12 +209,11 @@ def greedy_walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, length: i
     return _greedy(rows, steps.select("node", "neighbour", "side", "place"), "node", "neighbour", length - 1)
 
 
-def backing_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 4, frontier: int = 200) -> DataFrame:
+def backing_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     """(source, target, path): a shortest undirected path of at most ``hops`` edges, the first in neighbour order.
 
-    Each side walks half of the way; a side's frontier keeps its first ``frontier`` nodes per source, as
-    the bounded search that this replaces does.
-    """
+    Each side walks half of the way from its distinct starts, keeping one best path to each node it
+    reaches; no path is lost. A pair is met where the two sides know the same node."""
     near = cut_lineage(adjacency(edges, nodes).select("node", "neighbour", "side", "place"))
     pairs = cut_lineage(pairs.select("source", "target").distinct())
 
@@ -219,14 +222,21 @@ def backing_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, hops: in
         every = rows
         for _ in range(k):
             grown = rows.join(near, rows["at"] == near["node"]).where(~F.array_contains("path", F.col("neighbour"))).select("s", F.col("neighbour").alias("at"), F.concat("path", F.array("neighbour")).alias("path"), F.concat("key", F.array(F.struct(F.col("side"), F.col("place")))).alias("key"))
-            w = Window.partitionBy("s").orderBy("key", "at")
-            rows = cut_lineage(grown.groupBy("s", "at").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= frontier).drop("r"))
+            best = grown.groupBy("s", "at").agg(F.min_by("path", "key").alias("path"), F.min("key").alias("key"))
+            rows = cut_lineage(best.join(every.select("s", "at"), ["s", "at"], "left_anti"))  # a node known by a shorter way goes on from there
             every = every.unionByName(rows)
-        return every.groupBy("s", "at").agg(F.min_by(F.struct("path", "key"), F.struct(F.size("key"), "key")).alias("best")).select("s", "at", "best.path", "best.key")
+        return every
 
     a = half("source", hops - hops // 2).select(F.col("s").alias("source"), "at", F.col("path").alias("pa"), F.col("key").alias("ka"))
     b = half("target", hops // 2).select(F.col("s").alias("target"), "at", F.col("path").alias("pb"), F.col("key").alias("kb"))
-    met = pairs.select("source", "target").distinct().join(a, "source").join(b, ["target", "at"])
+    met = pairs.join(a, "source").join(b, ["target", "at"])
     whole = F.concat("pa", F.slice(F.reverse("pb"), 2, 99))
     best = met.withColumn("path", whole).groupBy("source", "target").agg(F.min_by("path", F.struct(F.size("path"), "ka", "kb")).alias("path"))
     return best.where(F.size("path") <= hops + 1)
+
+
+def aligned_across_papers(nodes: DataFrame) -> DataFrame:
+    """(canonical_id, papers, first_node): concepts that at least two papers share, by the first node of each paper."""
+    u = unique_nodes(nodes).where("canonical_id is not null and canonical_id != '' and address.paper_id is not null and node_type = 'ConceptNode'")
+    first = u.groupBy("canonical_id", "address.paper_id").agg(F.min_by("node_id", "node_ord").alias("node_id"))
+    return first.groupBy("canonical_id").agg(F.count("*").alias("papers"), F.min("node_id").alias("first_node")).where("papers >= 2")

@@ -148,8 +148,10 @@ def parse_quality(blocks: DataFrame) -> DataFrame:
         share(F.col("address.bbox").isNotNull()).alias("bbox_ratio"),
         F.count("*").alias("blocks"),
     )
+    names = ("text_ratio", "caption_ratio", "section_ratio", "page_ratio", "bbox_ratio")
+    parts = parts.withColumns({c: F.round(c, 3) for c in names})  # as they are reported, before they are weighted
     score = F.col("text_ratio") * 0.25 + F.col("caption_ratio") * 0.2 + F.col("section_ratio") * 0.2 + F.col("page_ratio") * 0.15 + F.col("bbox_ratio") * 0.2
-    return parts.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 0.75, "high").when(F.col("score") >= 0.5, "medium").otherwise("low"))
+    return parts.withColumn("score", F.round(score, 3)).withColumn("level", F.when(F.col("score") >= 0.75, "high").when(F.col("score") >= 0.5, "medium").otherwise("low"))
 
 
 def normalised_blocks(chunks: DataFrame, media: DataFrame) -> DataFrame:

@@ -228,6 +228,11 @@ def dual_multi_hop(difficulty: str, chunks: int, path: int) -> bool:
     return difficulty not in ("L3", "L4") or (chunks >= 2 and path >= (2 if difficulty == "L3" else 3))
 
 
+def dual_multi_hop_column(difficulty: Column | str, chunks: Column | str, path: Column | str) -> Column:
+    d, c, p = (F.col(x) if isinstance(x, str) else x for x in (difficulty, chunks, path))
+    return ~d.isin("L3", "L4") | ((c >= 2) & (p >= F.when(d == "L3", 2).otherwise(3)))
+
+
 PLAN = "seed string, seed_place int, roles string, nodes array<string>, difficulty string, utility double, role double, evidence double, constraint double, structure double, difficulty_match double, shortcut double, noise double, passed boolean, pattern string"
 
 
@@ -282,9 +287,9 @@ def plan(nodes: DataFrame, edges: DataFrame, kind: str, per_type: int = 12, tau:
 
 
 def distinct_plans(plans: DataFrame) -> DataFrame:
-    """Plans without those that repeat another's type and node set; the first id stays."""
+    """(plan_id, question_type, copies): plans without those that repeat another's type and node set; the first id stays."""
     key = F.array_sort(F.array_distinct("nodes"))
-    return plans.withColumn("key", key).groupBy("question_type", "key").agg(F.min("plan_id").alias("plan_id")).select("plan_id", "question_type")
+    return plans.withColumn("key", key).groupBy("question_type", "key").agg(F.min("plan_id").alias("plan_id"), F.count("*").alias("copies")).select("plan_id", "question_type", "copies")
 
 
 def memory(runs: DataFrame) -> DataFrame:
@@ -295,8 +300,8 @@ def memory(runs: DataFrame) -> DataFrame:
 def seed_boost(successes: DataFrame) -> DataFrame:
     """(node_id, boost): a seed's successes as a share of the most successful one's."""
     counts = successes.groupBy("node_id").agg(F.count("*").alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
-    return counts.join(F.broadcast(most)).select("node_id", (F.col("n") / F.col("most")).alias("boost"))
+    most = counts.agg(F.max("n")).first()[0]
+    return counts.select("node_id", (F.col("n") / F.lit(most)).alias("boost"))
 
 
 # Weights of a virtual edge's features, and their changes by question type.

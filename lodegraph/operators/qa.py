@@ -77,8 +77,8 @@ def check_numeric(qa: DataFrame) -> DataFrame:
 
 def check_unit(qa: DataFrame) -> DataFrame:
     """Units of the answer that are compatible with none of the evidence's units."""
-    rows = _checked(qa).withColumn("known", F.transform(R.units("evidence"), R.normal_unit)).where(F.size("known") > 0)
-    bad = F.filter(R.units("answer"), lambda u: ~F.array_contains("known", R.normal_unit(u)))
+    rows = _checked(qa).withColumn("known", R.units("evidence")).where(F.size("known") > 0)
+    bad = F.filter(R.units("answer"), lambda u: ~F.exists("known", lambda k: R.compatible(u, k)))
     return _violations(rows.withColumn("bad", F.explode(bad)), "constraint", "unit", "major", F.col("bad"))
 
 
@@ -195,26 +195,36 @@ CORRUPTORS: dict[str, Callable[[], Column]] = {"wrong_number": wrong_number, "un
 def corrupt(qa: DataFrame, concepts: DataFrame | None = None, per_item: int = 2) -> DataFrame:
     """(qid, source_qid, error_type, answer): the first ``per_item`` corruptions of each item in its own shuffled order.
 
-    With ``concepts`` (content) an entity may be swapped for another of the pool, found by joining on the
-    item's source nodes' contents.
+    With ``concepts`` (content) swapping an entity for another of the pool is one of the corruptions.
     """
     rows = items(qa).withColumn("answer", F.coalesce("answer", F.lit("")))
-    made = F.array(*[F.struct(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("qid"), F.lit(name))).alias("at"), F.lit(name).alias("error"), f().alias("answer")) for name, f in CORRUPTORS.items()])
+    makers = {name: f() for name, f in CORRUPTORS.items()}
+    if concepts is not None:
+        rows = rows.join(swap_entities(qa, concepts), "qid", "left")
+        makers["entity_swap"] = F.col("swapped")
+    made = F.array(*[F.struct(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("qid"), F.lit(name))).alias("at"), F.lit(name).alias("error"), answer.alias("answer")) for name, answer in makers.items()])
     kept = F.slice(F.array_sort(F.filter(made, lambda m: m["answer"].isNotNull())), 1, per_item)
     has_number = F.size(F.filter(R.numbers("answer"), lambda n: F.abs(n.try_cast("double")) < 1e15)) > 0
     out = rows.withColumn("numbered", has_number).select("qid", "numbered", F.explode(kept).alias("m"))
     kind = F.when((F.col("m.error") == "table_misread") & F.col("numbered"), "wrong_number").otherwise(F.col("m.error"))
-    out = out.select(F.concat("qid", F.lit("__"), F.col("m.error")).alias("qid"), F.col("qid").alias("source_qid"), kind.alias("error_type"), F.col("m.answer").alias("answer"))
-    return out if concepts is None else out.unionByName(swap_entities(qa, concepts))
+    return out.select(F.concat("qid", F.lit("__"), F.col("m.error")).alias("qid"), F.col("qid").alias("source_qid"), kind.alias("error_type"), F.col("m.answer").alias("answer"))
 
 
 def swap_entities(qa: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Items whose answer names a concept of their own evidence, with the next concept of the pool in its place."""
-    w = Window.partitionBy("bucket").orderBy("content")
-    pool = concepts.where("content is not null and content != ''").select("content").distinct().withColumn("bucket", F.substring(F.md5("content"), 1, 2)).withColumn("other", F.coalesce(F.lead("content").over(w), F.lag("content").over(w))).where("other is not null")
-    rows = items(qa).where("answer is not null").select("qid", "answer", F.explode(F.array_distinct(F.split(F.regexp_replace("answer", "[.,;()（），。]", " "), " "))).alias("content"))
-    hit = rows.join(pool, "content").groupBy("qid").agg(F.min_by(F.struct("answer", "content", "other"), "content").alias("h"))
-    return hit.select(F.concat("qid", F.lit("__entity_swap")).alias("qid"), F.col("qid").alias("source_qid"), F.lit("entity_swap").alias("error_type"), replace_first(F.col("h.answer"), F.col("h.content"), F.col("h.other")).alias("answer"))
+    """(qid, swapped): answers that name a concept of the pool, in one word or several, with another of the pool in its place.
+
+    Names are found by joining on the runs of words of each answer, up to the longest name's; of several the longest is swapped, then the first."""
+    names = concepts.where("content is not null and trim(content) != ''").select(F.trim("content").alias("content")).distinct()
+    size = names.agg(F.max(F.size(F.split("content", " "))).alias("longest"), F.count("*").alias("n")).first()
+    longest, buckets = size["longest"] or 1, max(1, size["n"] // 64)
+    w = Window.partitionBy(F.pmod(F.xxhash64("content"), F.lit(buckets))).orderBy("content")
+    pool = names.withColumn("other", F.coalesce(F.lead("content").over(w), F.lag("content").over(w))).where("other is not null")
+    words = F.split(F.regexp_replace("answer", r"\s+", " "), " ")
+    rows = items(qa).where("answer is not null and trim(answer) != ''").select("qid", "answer", words.alias("w"), F.posexplode(words).alias("i", "_"))
+    runs = rows.select("qid", "answer", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i"))), lambda n: F.array_join(F.slice("w", F.col("i") + 1, n), " "))).alias("run"))
+    runs = runs.select("qid", "answer", F.regexp_replace("run", r"^[(（\"'“]+|[.,;:!?)）\"'”，。；：！？]+$", "").alias("content")).where("content != ''").distinct()
+    hit = runs.join(pool, "content").groupBy("qid").agg(F.min_by(F.struct("answer", "content", "other"), F.struct(-F.length("content"), F.col("content"))).alias("h"))
+    return hit.select("qid", replace_first(F.col("h.answer"), F.col("h.content"), F.col("h.other")).alias("swapped"))
 
 
 def preferences(qa: DataFrame) -> DataFrame:
@@ -253,3 +263,26 @@ def repair(qa: DataFrame, respond: Callable[[DataFrame], DataFrame], rounds: int
         state = cut_lineage(state.join(answers, "qid", "left").withColumn("rounds", F.when(F.col("text").isNotNull(), r).otherwise(F.col("rounds"))).withColumn("answer", F.coalesce("text", "answer")).drop("text"))
     final = summary(state).select("qid", "passed")
     return state.join(final, "qid").select("qid", "answer", "rounds", F.when(F.col("passed"), "final").otherwise("human_review").alias("pool"))
+
+
+# ---- samples for training --------------------------------------------------------------------------------------
+
+
+def corpus_samples(qa: DataFrame) -> DataFrame:
+    """(qid, kind, instruction, input, output, trace, contexts): every item as an instruction, a reasoning trace and a retrieval sample; items kept as refusals as refusal samples."""
+    rows = items(qa).withColumn("refused", F.coalesce(R.text("answer").isin(R.KEPT_REFUSALS), F.lit(False))).withColumn("evidence", R.evidence_lines("evidence_spans"))
+    contexts = F.coalesce(F.transform("evidence_spans", lambda e: F.coalesce(e["content"], F.lit(""))), F.array().cast("array<string>"))
+    trace = F.coalesce(F.array_join("evidence_path", " -> "), F.lit(""))
+    none, empty = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    sample = lambda kind, text, output, way, parts: F.struct(F.lit(kind).alias("kind"), text.alias("input"), output.alias("output"), way.alias("trace"), parts.alias("contexts"))
+    answer = F.coalesce("answer", F.lit(""))
+    kept = F.array(sample("evidence_grounded_instruction", F.col("evidence"), answer, none, empty), sample("graph_reasoning_trace", none, answer, trace, empty), sample("rag_grounding", none, answer, none, contexts))
+    declined = F.array(sample("refusal", F.col("evidence"), F.when(answer == "", F.lit(R.KEPT_REFUSALS[0])).otherwise(answer), none, empty))
+    each = rows.select("qid", F.col("question").alias("instruction"), F.explode(F.when(F.col("refused"), declined).otherwise(kept)).alias("s"))
+    return each.select("qid", "s.kind", "instruction", "s.input", "s.output", "s.trace", "s.contexts")
+
+
+def verifier_samples(qa: DataFrame, corrupted: DataFrame) -> DataFrame:
+    """(qid, answer, label, error_type): items as good samples and their corruptions as bad ones."""
+    good = items(qa).where(~F.coalesce("is_corrupted", F.lit(False))).select("qid", F.coalesce("answer", F.lit("")).alias("answer"), F.lit("good").alias("label"), F.lit(None).cast("string").alias("error_type"))
+    return good.unionByName(corrupted.select("qid", "answer", F.lit("bad").alias("label"), "error_type"))

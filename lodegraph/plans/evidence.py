@@ -7,11 +7,12 @@ doubles depend on their order. Queries without SQL are tested against brute forc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
-from lodegraph.operators import binding, components, finders, graph, ingest, metrics, planner, qa
+from lodegraph.operators import binding, builder, components, finders, graph, ingest, metrics, planner, qa
+from lodegraph.session import cut_lineage
 from lodegraph.sources.responses import json_object, without_thoughts
 from lodegraph.sources.tables import table
 from lodegraph.streaming import limits
@@ -130,10 +131,14 @@ def q_symbolic_name(spark, d):
     return graph.unique_nodes(n).select("node_id", R.symbolic("content").alias("symbolic"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(lower({_trim('text')}), '{R.METADATA}')")
+@query(r"""SELECT qid, regexp_matches(lower(regexp_replace(coalesce(question, ''), '^\s+|\s+$', '', 'g') || ' ' || CASE (hash_key % 4) WHEN 0 THEN 'Received 7 May' WHEN 1 THEN 'doi' WHEN 2 THEN 'licences' ELSE 'Vol. 3' END),
+    '(^|[^0-9A-Za-z_])(publication|received|accepted|revised|submitted|current version|copyright|doi|issn|isbn|license|licen[cs]ed|ieee|digital object|permission|reprint|all rights reserved|corresponding author|manuscript|page [0-9]+|vol\.|volume [0-9]+)([^0-9A-Za-z_]|$)') AS metadata
+    FROM (SELECT DISTINCT qid, question, length(qid) + ascii(right(qid, 1)) AS hash_key FROM qa_items WHERE qid IS NOT NULL)""")
 def q_metadata_filter(spark, d):
-    (t,) = _t(spark, d, "documents")
-    return t.where(R.metadata("text")).select("doc_id")
+    """Questions followed by a scrap of front matter: which are metadata."""
+    (t,) = _t(spark, d, "qa_items")
+    scrap = F.element_at(F.array(*map(F.lit, ("Received 7 May", "doi", "licences", "Vol. 3"))), (F.length("qid") + F.ascii(F.right("qid", F.lit(1)))) % 4 + 1)
+    return qa.items(t).select("qid", R.metadata(F.concat(R.text("question"), F.lit(" "), scrap)).alias("metadata"))
 
 
 @query(f"WITH {N} SELECT node_id, node_type || ':' || ({_slug('content', 40)}) AS canonical_id FROM n WHERE node_type IS NOT NULL")
@@ -223,9 +228,9 @@ def q_blocks_by_modality(spark, d):
 
 @query(f"""WITH {B}, p AS (SELECT address.paper_id AS paper_id, count(*)::BIGINT AS blocks, avg(CASE WHEN length({_trim('content')}) > 0 THEN 1.0 ELSE 0.0 END) AS a, coalesce(avg(CASE WHEN modality IN ('table','figure') THEN CASE WHEN length({_trim('caption')}) > 0 THEN 1.0 ELSE 0.0 END END), 1.0) AS c,
     avg(CASE WHEN coalesce(address.section_path, '') <> '' THEN 1.0 ELSE 0.0 END) AS s, avg(CASE WHEN address.page IS NOT NULL THEN 1.0 ELSE 0.0 END) AS g, avg(CASE WHEN address.bbox IS NOT NULL THEN 1.0 ELSE 0.0 END) AS x FROM b WHERE address.paper_id IS NOT NULL GROUP BY 1)
-    SELECT paper_id, blocks, round(a*0.25 + c*0.2 + s*0.2 + g*0.15 + x*0.2, 6) AS score FROM p""")
+    SELECT paper_id, blocks, round(round(a, 3)*0.25 + round(c, 3)*0.2 + round(s, 3)*0.2 + round(g, 3)*0.15 + round(x, 3)*0.2, 3) AS score FROM p""")
 def q_parse_quality(spark, d):
-    return ingest.parse_quality(*_t(spark, d, "evidence_blocks")).select("paper_id", "blocks", F.round("score", 6).alias("score"))
+    return ingest.parse_quality(*_t(spark, d, "evidence_blocks")).select("paper_id", "blocks", "score")
 
 
 @query()
@@ -263,6 +268,102 @@ def q_parse_extraction(spark, d):
     return ingest.parse_extraction(answers).select("key", "kind", "a")
 
 
+@query("""WITH t(value, source, target) AS (VALUES (500.0, 'MPa', 'kPa'), (25.0, '°C', 'K'), (300.0, 'K', '℃'), (2.0, 'h', 's'), (5.0, 'mm', 'kg'), (12.0, '%', 'wt%'), (3.0, 'eV', 'meV'), (1.0, 'xx', 'xx')), n AS (SELECT count(DISTINCT block_id) AS blocks FROM evidence_blocks)
+    SELECT source, target, CASE WHEN source = 'MPa' THEN 500000.0 WHEN source = '°C' THEN 298.15 WHEN source = 'K' THEN 26.85 WHEN source = 'h' THEN 7200.0 WHEN source = '%' THEN 12.0 WHEN source = 'eV' THEN 3000.0 END AS converted, source <> 'mm' AS compatible FROM t, n""")
+def q_unit_conversion(spark, d):
+    rows = spark.createDataFrame([(500.0, "MPa", "kPa"), (25.0, "°C", "K"), (300.0, "K", "℃"), (2.0, "h", "s"), (5.0, "mm", "kg"), (12.0, "%", "wt%"), (3.0, "eV", "meV"), (1.0, "xx", "xx")], "value double, source string, target string")
+    return rows.select("source", "target", F.round(R.converted("value", "source", "target"), 6).alias("converted"), R.compatible("source", "target").alias("compatible"))
+
+
+@query(f"""WITH {B} SELECT block_id, coalesce(min(CASE WHEN x.s IS NOT NULL THEN x.i END)::VARCHAR, NULL) AS sentence FROM (SELECT block_id, substring({_trim("coalesce(content, '')")}, 1, 20) AS head, unnest(extra.sentence_list) AS s0, generate_subscripts(extra.sentence_list, 1) - 1 AS i0 FROM b WHERE modality = 'text' AND len(extra.sentence_list) > 0) y,
+    LATERAL (SELECT CASE WHEN y.head <> '' AND contains(y.s0, y.head) THEN y.s0 END AS s, y.i0 AS i) x GROUP BY block_id""")
+def q_sentence_locate(spark, d):
+    """In which of its sentences the beginning of each text lies."""
+    (b,) = _t(spark, d, "evidence_blocks")
+    rows = b.where("modality = 'text' and size(extra.sentence_list) > 0").dropDuplicates(["block_id"])
+    return rows.select("block_id", R.locate_sentence("content", F.col("extra.sentence_list")).alias("sentence"))
+
+
+@query(f"""WITH {Q} SELECT qid, coalesce(array_to_string(list_transform(evidence_spans, lambda s: '[' || coalesce(s.node_id, '') || '] (' || coalesce(s.address.paper_id, '') || '/' || coalesce(s.address.section_path, '') || '/' || coalesce(s.address.chunk_id, '') || ') ' || coalesce(s.content, '')), chr(10)), '') AS evidence FROM q""")
+def q_evidence_format(spark, d):
+    return qa.items(*_t(spark, d, "qa_items")).select("qid", R.evidence_lines("evidence_spans").alias("evidence"))
+
+
+def _responses(n: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Extraction answers written from the points and edges that the tables hold, and the blocks' chunks they belong to."""
+    points = graph.unique_nodes(n).where("node_id rlike '::p[0-9]+$' and address.chunk_id is not null").select("node_id", F.col("address.chunk_id").alias("chunk"), F.regexp_extract("node_id", "::p([0-9]+)$", 1).cast("int").alias("i"), F.regexp_replace("node_type", "Node$", "").alias("label"), "content", R.either("normalized_content", "content").alias("name"))
+    clean = lambda c: F.regexp_replace(c, r"[()#\n]|<\|>", " ")
+    tuples = points.select("chunk", "i", F.concat(F.lit('("point"<|>'), clean(F.col("name")), F.lit("<|>"), F.col("label"), F.lit("<|>"), clean(F.col("content")), F.lit(")")).alias("t"))
+    names = points.select("node_id", "chunk", F.col("name"))
+    a, b = names.withColumnsRenamed({"node_id": "source", "name": "x"}), names.select(F.col("node_id").alias("target"), F.col("chunk").alias("other"), F.col("name").alias("y"))
+    told = graph.unique_edges(e).select("source", "target", "edge_type", "edge_ord").join(a, "source").join(b, "target").where("chunk = other")
+    relations = told.select("chunk", F.lit(1 << 20).alias("i"), F.concat(F.lit('("relation"<|>'), clean(F.col("x")), F.lit("<|>"), clean(F.col("y")), F.lit("<|>"), F.col("edge_type"), F.lit(")")).alias("t"))
+    lines = tuples.unionByName(relations).groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "##").alias("text"))
+    return lines, points
+
+
+@query()
+def q_extracted_points(spark, d):
+    """Points of extraction answers, gated, placed in their sentences and named; the answers are written from the graph's own points."""
+    n, e, b = _t(spark, d, "nodes", "edges", "evidence_blocks")
+    targets = builder.extraction_targets(b)
+    answers = _responses(n, e)[0].join(targets.where("modality = 'text'").select("block_id", F.col("address.chunk_id").alias("chunk")), "chunk").select("block_id", "text")
+    nodes, _, _ = builder.extracted_points(targets, answers)
+    return nodes.select("node_id", "node_type", "content", "normalized_content", "address.sentence_id", "canonical_id")
+
+
+@query()
+def q_cooccur_edges(spark, d):
+    """Edges between the points of each block with polarity and confidence: asserted ones, and those a rule adds where the text is positive."""
+    n, e, b = _t(spark, d, "nodes", "edges", "evidence_blocks")
+    targets = builder.extraction_targets(b)
+    answers = _responses(n, e)[0].join(targets.where("modality = 'text'").select("block_id", F.col("address.chunk_id").alias("chunk")), "chunk").select("block_id", "text")
+    nodes, _, relations = builder.extracted_points(targets, answers)
+    rows = builder.cooccurrence(targets, nodes, relations)
+    return rows.select("source", "target", "edge_type", "cooccur_scope", "polarity", "confidence")
+
+
+@query(f"""WITH {B}, u AS (SELECT * FROM b WHERE block_id IS NOT NULL AND address.paper_id IS NOT NULL), p AS (SELECT DISTINCT address.paper_id AS paper_id FROM u), t AS (SELECT p.paper_id, any_value(papers.title) AS title FROM p LEFT JOIN papers USING (paper_id) GROUP BY 1),
+    s AS (SELECT address.paper_id AS paper, CASE WHEN len(list_filter(string_split(coalesce(address.section_path, ''), '/'), lambda x: x <> '')) = 0 THEN ['ROOT'] ELSE list_filter(string_split(coalesce(address.section_path, ''), '/'), lambda x: x <> '') END AS parts FROM u),
+    z AS (SELECT DISTINCT paper || '::SEC::' || ({_slug("array_to_string(parts[1:i], '/')", 60)}) AS node_id FROM (SELECT paper, parts, unnest(range(1, len(parts) + 1)) AS i FROM s))
+    SELECT paper_id || '::PAPER' AS node_id, 'PaperNode' AS node_type, coalesce(title, paper_id) AS content FROM t UNION ALL SELECT paper_id || '::TITLE', 'TitleNode', title FROM t WHERE title <> '' UNION ALL SELECT node_id, 'SectionNode', NULL FROM z
+    UNION ALL SELECT address.chunk_id, CASE modality WHEN 'text' THEN 'ChunkNode' WHEN 'table' THEN 'TableNode' WHEN 'figure' THEN 'FigureNode' ELSE 'EquationNode' END, substring(CASE WHEN modality = 'text' THEN coalesce(content, '') ELSE coalesce(nullif(caption, ''), content, '') END, 1, 500) FROM u WHERE modality IN ('text','table','figure','formula') AND address.chunk_id IS NOT NULL
+    UNION ALL SELECT block_id, 'CaptionNode', substring(coalesce(content, ''), 1, 500) FROM u WHERE modality = 'caption'""")
+def q_structure_nodes(spark, d):
+    """Paper, title, section, chunk, figure, table, equation and caption nodes made from the blocks."""
+    rows, _ = builder.structure(*_t(spark, d, "evidence_blocks", "papers"))
+    return rows.select("node_id", "node_type", F.when(F.col("node_type") != "SectionNode", F.col("content")).alias("content"))
+
+
+@query(f"""WITH {B}, u AS (SELECT * FROM b WHERE block_id IS NOT NULL AND address.paper_id IS NOT NULL), m AS (SELECT DISTINCT address.chunk_id AS id FROM u WHERE modality IN ('text','table','figure','formula') AND address.chunk_id IS NOT NULL)
+    SELECT extra.parent AS source, block_id AS target FROM u JOIN m ON m.id = extra.parent WHERE modality = 'caption'""")
+def q_caption_parents(spark, d):
+    """Captions under the figure, table or equation that they describe."""
+    _, edges = builder.structure(*_t(spark, d, "evidence_blocks", "papers"))
+    return edges.where("edge_type = 'describes'").select("source", "target")
+
+
+@query()
+def q_table_graph(spark, d):
+    """Attributes, units, concepts and values of every table with their edges; tested against hand-made tables."""
+    nodes, edges = builder.table_graph(*_t(spark, d, "evidence_blocks"))
+    n = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("node_type").alias("type"), "content")
+    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("edge_type").alias("type"), F.col("cooccur_scope").alias("content")))
+
+
+@query()
+def q_table_row_metrics(spark, d):
+    """The metric that each two neighbouring rows of a table share, with both cells, over the tables' own graph."""
+    nodes, edges = builder.table_graph(*_t(spark, d, "evidence_blocks"))
+    nodes = cut_lineage(nodes.withColumns({"node_ord": F.xxhash64("node_id"), "ingested_at": F.lit(None).cast("timestamp")}))
+    edges = cut_lineage(edges.withColumns({"edge_ord": F.coalesce(F.regexp_extract("target", r"c(\d+)$", 1).try_cast("bigint"), F.lit(0)), "ingested_at": F.lit(None).cast("timestamp")}))
+    rows = binding.table_rows(nodes, edges).select("row").distinct()
+    place = F.regexp_extract("row", r"::row(\d+)$", 1).try_cast("int")
+    of = Window.partitionBy(F.regexp_replace("row", r"::row\d+$", "")).orderBy(place)
+    pairs = rows.where(place.isNotNull()).select(F.col("row").alias("a"), F.lead("row").over(of).alias("b")).where("b is not null")
+    return binding.row_metrics(pairs, nodes, edges)
+
+
 # ---- graph -----------------------------------------------------------------------------------------------------
 
 
@@ -321,10 +422,19 @@ def q_rule_completion(spark, d):
     return graph.rule_completion(n, e).select("source", "target", "edge_type")
 
 
-@query(f"""WITH {B}, t AS (SELECT DISTINCT address.chunk_id AS source, address.paper_id AS p, unnest(regexp_extract_all(coalesce(content, ''), '(?i)(?:^|[^0-9A-Za-z_])(?:Fig\\.?|Figure)\\s*\\.?\\s*\\(?([0-9]+)', 1)) AS label FROM b WHERE modality = 'text'),
-    f AS (SELECT address.paper_id AS p, extra.label AS label, max(address.chunk_id) AS target FROM b WHERE modality = 'figure' AND extra.label IS NOT NULL GROUP BY 1, 2) SELECT source, target, t.label FROM t JOIN f ON t.p = f.p AND t.label = f.label""")
+@query(rf"""WITH {B}, t AS (SELECT DISTINCT 'figure' AS kind, address.chunk_id AS source, address.paper_id AS p, unnest(regexp_extract_all(coalesce(content, ''), '(?i)(?:^|[^0-9A-Za-z_])(?:Fig\.?|Figure)\s*\.?\s*\(?([0-9]+)', 1)) AS label FROM b WHERE modality = 'text'
+    UNION SELECT DISTINCT 'table', address.chunk_id, address.paper_id, unnest(regexp_extract_all(coalesce(content, ''), '(?i)(?:^|[^0-9A-Za-z_])(?:Tab\.?|Table)\s*\.?\s*\(?([0-9]+)', 1)) FROM b WHERE modality = 'text'
+    UNION SELECT DISTINCT 'equation', address.chunk_id, address.paper_id, unnest(regexp_extract_all(coalesce(content, ''), '(?i)(?:^|[^0-9A-Za-z_])(?:Eq\.?|Equation)\s*\.?\s*\(?([0-9]+)', 1)) FROM b WHERE modality = 'text'),
+    f AS (SELECT CASE modality WHEN 'formula' THEN 'equation' ELSE modality END AS kind, address.paper_id AS p, extra.label AS label, arg_max(address.chunk_id, (created_at, block_id)) AS target FROM b WHERE modality IN ('figure', 'table', 'formula') AND coalesce(extra.label, '') <> '' GROUP BY 1, 2, 3)
+    SELECT t.kind, source, target, t.label FROM t JOIN f ON t.kind = f.kind AND t.p = f.p AND t.label = f.label""".replace("\\\\", "\\"))
 def q_cross_modal_refs(spark, d):
-    return graph.cross_modal_references(*_t(spark, d, "evidence_blocks"), "figure")
+    """Text chunks to the figures, tables and equations that they name; the block written last has the label."""
+    (b,) = _t(spark, d, "evidence_blocks")
+    rows = None
+    for kind in ("figure", "table", "equation"):
+        each = graph.cross_modal_references(b, kind).withColumn("kind", F.lit(kind))
+        rows = each if rows is None else rows.unionByName(each)
+    return rows.select("kind", "source", "target", "label")
 
 
 @query(f"""WITH {N}, m AS (SELECT node_id, address.paper_id AS p, string_split(CASE WHEN coalesce(address.section_path, '') = '' THEN 'ROOT' ELSE address.section_path END, '/') AS parts FROM n WHERE node_type IN ('ChunkNode','FigureNode','TableNode','EquationNode') AND address.paper_id IS NOT NULL),
@@ -356,15 +466,17 @@ def q_values_via_attribute(spark, d):
     return binding.values_via_attribute(*_t(spark, d, "nodes", "edges"))
 
 
-@query(f"""WITH {N}, {E}, own AS (SELECT e.source AS value, arg_min({_trim('n.content')}, edge_ord) AS unit FROM e JOIN n ON n.node_id = e.target WHERE edge_type = 'has_unit' AND coalesce(e.polarity, 'positive') = 'positive' AND coalesce(e.confidence, 1.0) >= 0.5 GROUP BY 1),
-    col AS (SELECT e.source, arg_min({_trim('n.content')}, edge_ord) AS unit FROM e JOIN n ON n.node_id = e.target WHERE edge_type = 'has_unit' GROUP BY 1),
-    into_ AS (SELECT e.target AS value, arg_min(col.unit, e.edge_ord) AS unit FROM e JOIN n ON n.node_id = e.source AND n.node_type = 'AttributeNode' JOIN col ON col.source = e.source WHERE e.edge_type = 'has_value' GROUP BY 1)
-    SELECT n.node_id AS value, coalesce(own.unit, into_.unit, '') AS unit FROM n LEFT JOIN own ON own.value = n.node_id LEFT JOIN into_ ON into_.value = n.node_id WHERE n.node_type = 'ValueNode'""")
+@query(f"""WITH {N}, {E}, own AS (SELECT e.source AS value, arg_min((n.node_id, {_trim('n.content')}), edge_ord) AS u FROM e JOIN n ON n.node_id = e.target AND n.node_type = 'UnitNode' WHERE edge_type = 'has_unit' AND coalesce(e.polarity, 'positive') = 'positive' AND coalesce(e.confidence, 1.0) >= 0.5 GROUP BY 1),
+    col AS (SELECT e.source, arg_min((n.node_id, {_trim('n.content')}), edge_ord) AS u FROM e JOIN n ON n.node_id = e.target AND n.node_type = 'UnitNode' WHERE edge_type = 'has_unit' GROUP BY 1),
+    into_ AS (SELECT e.target AS value, arg_min(col.u, e.edge_ord) AS u FROM e JOIN n ON n.node_id = e.source AND n.node_type = 'AttributeNode' JOIN col ON col.source = e.source WHERE e.edge_type = 'has_value' GROUP BY 1)
+    SELECT n.node_id AS value, coalesce(own.u, into_.u)[1] AS unit_node, coalesce(coalesce(own.u, into_.u)[2], '') AS unit FROM n LEFT JOIN own ON own.value = n.node_id LEFT JOIN into_ ON into_.value = n.node_id WHERE n.node_type = 'ValueNode'""")
 def q_value_unit_binding(spark, d):
     return binding.value_units(*_t(spark, d, "nodes", "edges"))
 
 
-@query()
+@query(f"""WITH {N}, {E}, ch AS (SELECT DISTINCT a.source AS object, a.target AS attribute, v.target AS value FROM e a JOIN e v ON v.source = a.target JOIN n ON n.node_id = v.target AND n.node_type = 'ValueNode' WHERE a.edge_type = 'has_attribute' AND v.edge_type = 'has_value' AND coalesce(a.polarity, 'positive') = 'positive' AND coalesce(a.confidence, 1.0) >= 0.5 AND coalesce(v.polarity, 'positive') = 'positive' AND coalesce(v.confidence, 1.0) >= 0.5),
+    m AS (SELECT t.address.chunk_id AS chunk_id, t.canonical_id AS metric, object, arg_min(value, (attribute, value)) AS value FROM ch JOIN n t ON t.node_id = attribute WHERE t.canonical_id <> '' AND t.address.chunk_id IS NOT NULL GROUP BY ALL)
+    SELECT chunk_id, metric, object, value, objects FROM (SELECT *, count(*) OVER (PARTITION BY chunk_id, metric) AS objects FROM m) WHERE objects > 1""")
 def q_shared_metric(spark, d):
     return binding.shared_metrics(*_t(spark, d, "nodes", "edges"))
 
@@ -411,10 +523,7 @@ def q_backing_path(spark, d):
     SELECT canonical_id, count(*)::BIGINT AS papers, min(node_id) AS first_node FROM c GROUP BY 1 HAVING count(*) >= 2""")
 def q_cross_paper_align(spark, d):
     """Concepts that several papers share, with the number of papers: pairs are left to the chain of q_same_as."""
-    (n,) = _t(spark, d, "nodes")
-    u = graph.unique_nodes(n).where("canonical_id is not null and canonical_id != '' and address.paper_id is not null and node_type = 'ConceptNode'")
-    first = u.groupBy("canonical_id", "address.paper_id").agg(F.min_by("node_id", "node_ord").alias("node_id"))
-    return first.groupBy("canonical_id").agg(F.count("*").alias("papers"), F.min("node_id").alias("first_node")).where("papers >= 2")
+    return graph.aligned_across_papers(*_t(spark, d, "nodes"))
 
 
 # ---- finders ---------------------------------------------------------------------------------------------------
@@ -541,13 +650,14 @@ def q_difficulty_cap(spark, d):
 @query(f"WITH {Q}, {_CHUNKS} SELECT qid, difficulty NOT IN ('L3','L4') OR (chunks >= 2 AND path >= CASE difficulty WHEN 'L3' THEN 2 ELSE 3 END) AS ok FROM c WHERE difficulty IS NOT NULL")
 def q_dual_multihop(spark, d):
     rows = _with_chunks(*_t(spark, d, "qa_items")).where("difficulty is not null")
-    return rows.select("qid", (~F.col("difficulty").isin("L3", "L4") | ((F.col("chunks") >= 2) & (F.col("path") >= F.when(F.col("difficulty") == "L3", 2).otherwise(3)))).alias("ok"))
+    return rows.select("qid", planner.dual_multi_hop_column("difficulty", "chunks", "path").alias("ok"))
 
 
 @query(f"WITH {Q} SELECT question_type, min(qid) AS plan_id, count(*)::BIGINT AS copies FROM q WHERE source_nodes IS NOT NULL GROUP BY question_type, list_sort(list_distinct(source_nodes))")
 def q_plan_dedup(spark, d):
     (t,) = _t(spark, d, "qa_items")
-    return qa.items(t).where("source_nodes is not null").groupBy("question_type", F.array_sort(F.array_distinct("source_nodes")).alias("key")).agg(F.min("qid").alias("plan_id"), F.count("*").alias("copies")).select("question_type", "plan_id", "copies")
+    plans = qa.items(t).where("source_nodes is not null").select(F.col("qid").alias("plan_id"), "question_type", F.col("source_nodes").alias("nodes"))
+    return planner.distinct_plans(plans).select("question_type", "plan_id", "copies")
 
 
 @query(f"WITH {Q} SELECT question_type AS pattern, count(*)::BIGINT AS tried, sum(CASE WHEN validator_result.pool = 'benchmark' THEN 1 ELSE 0 END)::BIGINT AS succeeded, round(avg(CASE WHEN validator_result.pool = 'benchmark' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM q GROUP BY 1")
@@ -577,8 +687,9 @@ def _units(c: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(coalesce({c}, ''), '{_VU}', 2), lambda u: coalesce(u, '') <> ''))"
 
 
-_ALIAS = "CASE u " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.UNIT_ALIAS.items()) + " ELSE u END"
-_UNIT = f"ku AS (SELECT qid, {_units('answer')} AS au, list_transform({_units('ev')}, lambda u: {_ALIAS}) AS eu FROM c), uv AS (SELECT qid, u AS actual FROM (SELECT qid, unnest(au) AS u, eu FROM ku WHERE len(eu) > 0) WHERE NOT list_contains(eu, {_ALIAS}))"
+_DIM = """CASE WHEN u IN ('%', 'wt%', 'wt.%', 'at%', 'at.%') THEN 'ratio' WHEN u IN ('K', '°C', '℃') THEN 'temperature' WHEN u IN ('nm', 'µm', 'um', 'mm', 'cm', 'm') THEN 'length' WHEN u IN ('kg', 'g', 'mg') THEN 'mass'
+    WHEN u IN ('Pa', 'kPa', 'MPa', 'GPa') THEN 'pressure' WHEN u IN ('eV', 'meV', 'J') THEN 'energy' WHEN u IN ('mA', 'A') THEN 'current' WHEN u IN ('Hz', 'MHz', 'GHz') THEN 'frequency' WHEN u IN ('s', 'min', 'h') THEN 'time' ELSE u END"""
+_UNIT = f"ku AS (SELECT qid, {_units('answer')} AS au, list_transform({_units('ev')}, lambda u: {_DIM}) AS eu FROM c), uv AS (SELECT qid, u AS actual FROM (SELECT qid, unnest(au) AS u, eu FROM ku WHERE len(eu) > 0) WHERE NOT list_contains(eu, {_DIM}))"
 
 
 @query(f"WITH {Q}, {_C}, {_UNIT} SELECT qid, actual FROM uv")
