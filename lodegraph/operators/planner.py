@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
-from lodegraph.operators.graph import chunk_mates, degrees, downward_walk, gate, present_edges, upward_locate
+from lodegraph.operators import binding
+from lodegraph.operators.graph import chunk_mates, degrees, downward_walk, gate, present_edges, same_as, upward_locate
+from lodegraph.operators.overlay import Overlay
 from lodegraph.session import cut_lineage
 
 LIMIT = 120
@@ -233,35 +235,91 @@ def dual_multi_hop_column(difficulty: Column | str, chunks: Column | str, path:
     return ~d.isin("L3", "L4") | ((c >= 2) & (p >= F.when(d == "L3", 2).otherwise(3)))
 
 
-PLAN = "seed string, seed_place int, roles string, nodes array<string>, difficulty string, utility double, role double, evidence double, constraint double, structure double, difficulty_match double, shortcut double, noise double, passed boolean, pattern string"
+PLAN = "seed string, seed_place int, roles string, nodes array<string>, difficulty string, utility double, role double, evidence double, constraint double, structure double, difficulty_match double, shortcut double, noise double, passed boolean, pattern string, overlay string"
+
+
+#: A node brings at most so many values and cells into a plan.
+BOUND = 40
+
+
+def binding_facts(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, attrs, columns, row, unit, peer, result) of every node of ``ids`` (node): what bindings may bring into a plan, the first BOUND of each."""
+    chains = binding.values_via_attribute(nodes, edges).join(ids.select(F.col("node").alias("object")), "object", "left_semi")
+    attrs = chains.groupBy(F.col("object").alias("node")).agg(F.slice(F.array_sort(F.collect_set(F.struct("attribute", "value"))), 1, BOUND).alias("attrs"))
+    cells = binding.table_rows(nodes, edges)
+    columns = cells.groupBy(F.col("row").alias("node")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("place", "column", "cell"))), 1, BOUND), lambda x: F.struct(x["column"].alias("column"), x["cell"].alias("cell"))).alias("columns"))
+    rows = binding.owning_rows(nodes, edges).select(F.col("node_id").alias("node"), "row").where("node != row")
+    units = binding.value_units(nodes, edges).where("unit_node is not null").select(F.col("value").alias("node"), F.col("unit_node").alias("unit"))
+    n = gate(nodes).select("node_id", "node_type", "ok", F.coalesce("address.paper_id", F.lit("")).alias("paper"))
+    real = n.where(F.col("node_type").isin("ConceptNode", "MethodNode", "ValueNode") & F.col("ok")).select(F.col("node_id").alias("peer"))
+    peers = binding.peers(nodes, same_as(nodes)).where("other_paper").join(real, "peer", "left_semi").groupBy(F.col("node_id").alias("node")).agg(F.min("peer").alias("peer"))
+    papers = n.select(F.col("node_id").alias("node"), "paper")
+    own = chains.select(F.col("object").alias("node"), F.col("value").alias("found"), F.lit(0).alias("rank"))
+    mates = chunk_mates(nodes).select(F.col("node_id").alias("node"), F.col("mate").alias("found"), F.col("place").alias("rank")).join(ids, "node", "left_semi")
+    good = n.where(F.col("ok") & F.col("node_type").isin("ValueNode", "ClaimNode")).select(F.col("node_id").alias("found"), F.col("paper").alias("of"))
+    results = own.unionByName(mates).join(good, "found").join(papers, "node").where("of = paper").groupBy("node").agg(F.min_by("found", F.struct("rank", "found")).alias("result"))
+    out = ids.select("node").distinct()
+    for facts in (attrs, columns, rows, units, peers, results):
+        out = out.join(facts, "node", "left")
+    return out
+
 
+def plan(nodes: DataFrame, edges: DataFrame, kind: str, per_type: int = 12, tau: float = 0.0, max_expand: int = 12, history: DataFrame | None = None, score_guided: bool = True, use_binding: bool = True, use_overlay: bool = True, use_dual_multihop: bool = True, use_sufficiency: bool = True) -> DataFrame:
+    """(plan_id, seed, roles, nodes, difficulty, utility and parts, overlay): the first ``per_type`` plans that pass.
 
-def plan(nodes: DataFrame, edges: DataFrame, kind: str, per_type: int = 12, tau: float = 0.0, max_expand: int = 12, history: DataFrame | None = None, score_guided: bool = True) -> DataFrame:
-    """(plan_id, seed, roles, nodes, difficulty, utility and parts): the first ``per_type`` plans that pass."""
+    The five flags leave out score-guided choice, bindings, virtual completion, the multi-hop gate and the sufficiency gate."""
     seeds = cut_lineage(ranked_seeds(nodes, edges, kind, 4 * per_type, history))
-    facts = gate(nodes).select(F.col("node_id").alias("node"), "node_type", "ok", R.either("normalized_content", "content").alias("name"), F.coalesce("address.chunk_id", F.lit("")).alias("chunk"), F.coalesce("address.span", F.lit("")).alias("span"), F.coalesce("address.section_path", F.lit("")).alias("section"), F.coalesce("address.paper_id", F.lit("")).alias("paper"))
+    facts = gate(nodes).select(F.col("node_id").alias("node"), "node_type", "ok", R.either("normalized_content", "content").alias("name"), F.coalesce("canonical_id", F.lit("")).alias("canonical"), F.coalesce("address.chunk_id", F.lit("")).alias("chunk"), F.coalesce("address.span", F.lit("")).alias("span"), F.coalesce("address.section_path", F.lit("")).alias("section"), F.coalesce("address.paper_id", F.lit("")).alias("paper"))
     own = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node"), F.lit(0).alias("r"))
-    rows = candidates(nodes, edges, seeds).where("seed != node").select("seed", "node", "r").unionByName(own).join(facts, "node").join(seeds.select(F.col("node_id").alias("seed"), "place"), "seed")
+    base = cut_lineage(candidates(nodes, edges, seeds).where("seed != node").select("seed", "node", "r").unionByName(own))
+    ids = base.select("node").distinct()
+    if use_binding:
+        peers = binding.peers(nodes, same_as(nodes)).where("other_paper").select(F.col("node_id").alias("node"), F.col("peer")).join(ids, "node", "left_semi").select(F.col("peer").alias("node"))
+        ids = ids.unionByName(peers).distinct()
+    bound = cut_lineage(binding_facts(nodes, edges, ids if use_binding else ids.limit(0)))
+    brought = F.array_compact(F.concat(F.array("row", "unit", "peer", "result"), *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("attrs.attribute", "attrs.value", "columns.column", "columns.cell")]))
+    one = base.join(bound.select("node", F.explode(brought).alias("other")), "node").select("seed", F.col("other").alias("node"))
+    two = one.join(bound.select("node", F.explode(F.array_compact(F.array("result", "unit"))).alias("other")), "node").select("seed", F.col("other").alias("node"))
+    known = one.unionByName(two).unionByName(base.select("seed", "node"))
+    chunks = known.join(facts.select("node", "chunk"), "node").where("chunk != ''").select("seed", F.col("chunk").alias("node"))
+    extra = known.unionByName(chunks).distinct().join(base.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("r", F.lit(LIMIT + 1))
+    rows = base.unionByName(extra).join(facts, "node").join(seeds.select(F.col("node_id").alias("seed"), "place"), "seed").join(bound, "node", "left")
     rows = cut_lineage(rows)
     inner = present_edges(edges, nodes).select(F.col("source").alias("node"), "target")
     near = rows.select("seed", "node").join(inner, "node").join(rows.select("seed", F.col("node").alias("target")), ["seed", "target"], "left_semi").groupBy("seed", "node").agg(F.collect_set("target").alias("targets"))
     rows = rows.join(near, ["seed", "node"], "left")
+    weights = {**VIRTUAL, **VIRTUAL_BY_TYPE.get(kind, {})}
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["r", "node"])
-        facts = {x.node: {"type": x.node_type, "ok": bool(x.ok), "name": x.name_, "chunk": x.chunk, "span": x.span, "section": x.section, "paper": x.paper} for x in g.rename(columns={"name": "name_"}).itertuples()}
+        listed = lambda x: [dict(y) for y in x] if x is not None and not isinstance(x, float) else []
+        text = lambda x: x if isinstance(x, str) else None
+        facts, order = {}, []
+        for row in g.to_dict("records"):
+            facts[row["node"]] = {"type": row["node_type"], "ok": bool(row["ok"]), "attrs": listed(row["attrs"]), "columns": listed(row["columns"]), **{k: text(row[k]) for k in ("name", "canonical", "chunk", "span", "section", "paper", "row", "unit", "peer", "result")}}
+            if row["r"] <= LIMIT:
+                order.append(row["node"])
         links: dict[str, set[str]] = {}
         for node, targets in zip(g["node"], g["targets"]):
-            for t in targets if targets is not None else ():
+            for t in targets if targets is not None and not isinstance(targets, float) else ():
                 links.setdefault(node, set()).add(t)
                 links.setdefault(t, set()).add(node)
         seed = g["seed"].iloc[0]
-        order = [(n, facts[n]["type"], facts[n]["ok"]) for n in g["node"]]
-        assigned = assign_roles(kind, seed, facts[seed]["type"], order)
+        assigned = assign_roles(kind, seed, facts[seed]["type"], [(n, facts[n]["type"], facts[n]["ok"]) for n in order])
+        overlay = Overlay(kind, facts, links, order, assigned)
+        if use_binding:
+            overlay.bind()
+        missing = [r for r in MIN_ROLE_SETS[kind] if r not in ABSTRACT_ROLES and not assigned.get(r)]
+        if use_overlay and missing:
+            overlay.complete(missing, weights, COMPATIBLE)
+        overlay.ground(seed, MIN_ROLE_SETS[kind], ABSTRACT_ROLES)
+        if kind == "cross_paper":
+            overlay.fix_papers()
+        order = list(dict.fromkeys([*order, *overlay.added]))
         score = PlanScore(kind, facts, links, assigned, facts[seed]["name"][:80])
         chosen = list(dict.fromkeys([seed, *assigned.values()]))
         base, parts = len(chosen), score.parts(chosen, "L1")
-        extra = sorted((n for n, *_ in order if n not in chosen), key=lambda n: -(PRIORITY.get(facts[n]["type"], 0.4) + 0.05 * bool(facts[n]["chunk"])))
+        extra = sorted((n for n in order if n not in chosen), key=lambda n: -(PRIORITY.get(facts[n]["type"], 0.4) + 0.05 * bool(facts[n]["chunk"])))
         if not score_guided:
             chosen += extra[:max_expand]
         for n in extra if score_guided else ():
@@ -273,17 +331,22 @@ def plan(nodes: DataFrame, edges: DataFrame, kind: str, per_type: int = 12, tau:
         chunks = len({facts[n]["chunk"] for n in chosen if facts[n]["chunk"]})
         level = difficulty_cap(chunks, len(chosen) - 1)
         parts = score.parts(chosen, level)
-        two_papers = kind != "cross_paper" or len({facts[n]["paper"] for n in chosen if facts[n]["paper"]}) >= 2
-        passed = sufficient(parts, kind) and dual_multi_hop(level, chunks, len(chosen) - 1) and two_papers
+        passed = (not use_sufficiency or sufficient(parts, kind)) and (not use_dual_multihop or dual_multi_hop(level, chunks, len(chosen) - 1)) and (kind != "cross_paper" or overlay.two_papers())
         pattern = kind + ":" + "→".join(sorted({facts[n]["type"] for n in chosen}))
-        row = (seed, int(g["place"].iloc[0]), "|".join(f"{r}={n}" for r, n in sorted(assigned.items())), chosen, level, parts["total"], *(float(parts[k]) for k in ("role", "evidence", "constraint", "structure", "difficulty", "shortcut", "noise")), bool(passed), pattern)
+        edges = "|".join(f"{e['role']}:{e['intent']}:{e['source']}>{e['target']}:{e['score']}" for e in overlay.edges)
+        row = (seed, int(g["place"].iloc[0]), "|".join(f"{r}={n}" for r, n in sorted(assigned.items())), chosen, level, parts["total"], *(float(parts[k]) for k in ("role", "evidence", "constraint", "structure", "difficulty", "shortcut", "noise")), bool(passed), pattern, edges)
         return pd.DataFrame([row], columns=[c.split()[0] for c in PLAN.split(", ")])
 
     tried = rows.groupBy("seed").applyInPandas(choose, PLAN)
     w = Window.orderBy("seed_place")  # at most 4 * per_type rows
     counted = tried.withColumn("attempt", F.row_number().over(w)).withColumn("success", F.sum(F.col("passed").cast("int")).over(w))
     kept = counted.where("passed").where(F.col("success") <= per_type)
-    return kept.select(F.format_string("sp%06d", F.col("attempt")).alias("plan_id"), F.lit(kind).alias("question_type"), "seed", "roles", "nodes", "difficulty", "utility", "role", "evidence", "constraint", "structure", "difficulty_match", "shortcut", "noise", "pattern")
+    return kept.select(F.format_string("sp%06d", F.col("attempt")).alias("plan_id"), F.lit(kind).alias("question_type"), "seed", "roles", "nodes", "difficulty", "utility", "role", "evidence", "constraint", "structure", "difficulty_match", "shortcut", "noise", "pattern", "overlay")
+
+
+def roles_map(plans: DataFrame) -> DataFrame:
+    """Plans with ``roles`` as a map from role to node."""
+    return plans.withColumn("roles", F.when(F.coalesce("roles", F.lit("")) == "", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.str_to_map("roles", F.lit(r"\|"), F.lit("="))))
 
 
 def distinct_plans(plans: DataFrame) -> DataFrame:

@@ -621,17 +621,32 @@ def q_virtual_edges(spark, d):
     return planner.virtual_edges(pairs, n, e, "comparative")
 
 
+def _overlay(kind: str):
+    def run(spark, d):
+        rows = planner.plan(*_t(spark, d, "nodes", "edges"), kind)
+        return rows.withColumn("nodes", F.array_join("nodes", "|"))
+
+    run.__name__, run.__doc__ = f"q_overlay_{kind}", f"Score-guided plans for {kind} questions, bound, completed and grounded."
+    return run
+
+
+for _kind in planner.ROLE_SCHEMAS:
+    query()(_overlay(_kind))
+
+
 @query()
-def q_overlay_numerical(spark, d):
-    """Score-guided plans for numerical questions."""
-    rows = planner.plan(*_t(spark, d, "nodes", "edges"), "numerical")
-    return rows.withColumn("nodes", F.array_join("nodes", "|"))
+def q_plan_completeness(spark, d):
+    """How complete and useful the plans for numerical questions are."""
+    plans = planner.roles_map(planner.plan(*_t(spark, d, "nodes", "edges"), "numerical"))
+    return metrics.completeness(plans, ["role", "evidence", "constraint", "structure", "noise"])
 
 
 @query()
-def q_overlay_atomic(spark, d):
-    rows = planner.plan(*_t(spark, d, "nodes", "edges"), "atomic")
-    return rows.withColumn("nodes", F.array_join("nodes", "|"))
+def q_binding_correctness(spark, d):
+    """Whether values, results, instances and units of comparative and numerical plans belong together."""
+    n, e = _t(spark, d, "nodes", "edges")
+    plans = cut_lineage(planner.plan(n, e, "comparative").unionByName(planner.plan(n, e, "numerical")))
+    return metrics.binding_correctness(planner.roles_map(plans), n, e)
 
 
 _CHUNKS = "c AS (SELECT qid, coalesce(len(list_distinct(list_filter(list_transform(evidence_spans, lambda s: s.address.chunk_id), lambda x: x IS NOT NULL))), 0) AS chunks, coalesce(len(evidence_path), 0) AS path, difficulty, question_type FROM q)"
