@@ -48,6 +48,8 @@ SHARE = 2
 LEAVES, COUNTERS, COPIES = 8_192, 1 << 21, 64
 #: A gram is rare in at most RARE classes, or this share of all of them, up to LEAVES.
 RARE, RARE_SHARE = 256, 1 / 400
+#: Counters travel to the driver in parts of so many.
+PART = 1 << 16
 #: So many pairs of nodes go down together.
 FRONTIER = 1_000_000
 _TOKEN = re.compile(r"[a-z0-9]+|[^\x00-\x7f]")
@@ -230,9 +232,17 @@ def gram_counts(classes: DataFrame, width: int) -> np.ndarray:
         at = np.flatnonzero(held)
         yield pd.DataFrame({"at": at.astype(np.int32), "n": held[at]})
 
-    sums = classes.select("grams").mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(2 * width, dtype=np.int32)
-    counts[sums["at"].to_numpy()] = np.minimum(sums["n"], np.iinfo(np.int32).max)
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(PART, dtype=np.int32)
+        part[g["at"].to_numpy() % PART] = np.minimum(g["n"], np.iinfo(np.int32).max)
+        return pd.DataFrame({"part": [int(g["at"].iloc[0]) // PART], "counts": [part.tobytes()]})
+
+    sums = classes.select("grams").mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1")  # nothing is learned from a gram of one class
+    packed = sums.groupBy(F.floor(F.col("at") / PART).alias("p")).applyInPandas(pack, "part int, counts binary")
+    counts = np.ones(2 * width, dtype=np.int32)
+    for r in packed.collect():  # at most 2 * COUNTERS / PART rows of 4 * PART bytes
+        at = r["part"] * PART
+        counts[at : at + PART] = np.maximum(np.frombuffer(r["counts"], dtype=np.int32), 1)
     return counts.reshape(2, width)
 
 
