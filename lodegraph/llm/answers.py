@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,25 +68,33 @@ _ONLY = {
     "pl": set("i w na z się nie do jest to że od po przez dla jako przy oraz był".split()),
     "tr": set("ve bir bu da de için ile olarak olan çok daha gibi kadar sonra değil".split()),
 }
+_LANGUAGES: dict[str, list[str]] = {}
+for _language, _words in _ONLY.items():
+    for _w in sorted(_words):
+        _LANGUAGES.setdefault(_w, []).append(_language)
+_FAR = re.compile("[^\x00-\u024f]")
 _SCRIPTS = {"HAN": "han", "CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "HANGUL": "hangul", "CYRILLIC": "cyrillic", "ARABIC": "arabic", "HEBREW": "hebrew", "DEVANAGARI": "devanagari", "THAI": "thai", "GREEK": "greek"}
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN_UNIT = re.compile(r"^[^㐀-鿿]*\d[\d.,\s]*[㐀-鿿]{1,6}\s*[。.]?$")
 
 
+_NO_CONTENT, _MARKS = re.compile(r"(?:[^\w/]|_)+"), re.compile(r"[\W_]+")
+
+
 def _plain(text: str) -> str:
-    return unicodedata.normalize("NFKC", text)
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     text = _LABEL.sub("", _plain(answer))
-    core = "".join(c for c in text if c.isalnum() or c in "/")
+    core = _NO_CONTENT.sub("", text)
     return not core.strip("/") or _PLACEHOLDER.fullmatch(core) is not None and core.lower() != "0"
 
 
 def _content(text: str) -> str:
-    return "".join(c for c in _plain(text).casefold() if c.isalnum())
+    return _MARKS.sub("", _plain(text).casefold())
 
 
 def is_copy(question: str | None, answer: str | None) -> bool:
@@ -103,8 +112,9 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     qw, aw = _WORD_NUM.findall(_plain(question).casefold()), _WORD_NUM.findall(_plain(_QUESTION_LABEL.sub("", answer)).casefold())
     if len(aw) < 8 or len(qw) < 8:
         return False
-    inside = sum(w in set(qw) for w in aw) / len(aw)
-    covered = sum(w in set(aw) for w in qw) / len(qw)
+    asked, said = set(qw), set(aw)
+    inside = sum(w in asked for w in aw) / len(aw)
+    covered = sum(w in said for w in qw) / len(qw)
     return inside >= 0.9 and covered >= 0.8
 
 
@@ -128,17 +138,18 @@ def language(text: str | None) -> tuple[str, int]:
         return "none", 0
     text = _plain(text)
     foreign: dict[str, int] = {}
-    for c in text:
-        if c.isalpha() and ord(c) > 0x24F and (script := _SCRIPTS.get(unicodedata.name(c, "?").split()[0].split("-")[0])):
+    for c in _FAR.findall(text):
+        if c.isalpha() and (script := _SCRIPTS.get(unicodedata.name(c, "?").split()[0].split("-")[0])):
             foreign[script] = foreign.get(script, 0) + 1
     if foreign.get("kana", 0) >= 2:
         return "kana", foreign["kana"]
     foreign.pop("greek", None) if foreign.get("greek", 0) < 6 else None
     if foreign and (best := max(foreign.items(), key=lambda x: x[1]))[1] >= 4:
         return best
-    words = [w.lower() for w in _WORD.findall(text)]
-    scores = {k: sum(w in v for w in words) for k, v in _ONLY.items()}
-    best = max(scores.items(), key=lambda x: (x[1], x[0] == "en"))
+    scores: Counter = Counter()
+    for w in _WORD.findall(text.lower()):
+        scores.update(_LANGUAGES.get(w, ()))
+    best = max(scores.items(), key=lambda x: (x[1], x[0] == "en", x[0])) if scores else ("none", 0)
     return best if best[1] >= 2 else ("none", 0)
 
 
@@ -164,12 +175,15 @@ def is_foreign(question: str | None, answer: str | None, evidence: str = "") ->
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "”": "“"}
 
 
+_BRACKETS = re.compile("[" + re.escape("".join([*_PAIRS, *_PAIRS.values()])) + "]")
+
+
 def unclosed(text: str) -> bool:
     stack: list[str] = []
-    for c in text:
-        if c in _PAIRS.values():
+    for c in _BRACKETS.findall(text):
+        if c not in _PAIRS:
             stack.append(c)
-        elif c in _PAIRS and stack and stack[-1] == _PAIRS[c]:
+        elif stack and stack[-1] == _PAIRS[c]:
             stack.pop()
     return bool(stack)
 
