@@ -7,7 +7,7 @@ give no row, or a null where a row is asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
@@ -90,3 +90,29 @@ def peers(nodes: DataFrame, links: DataFrame) -> DataFrame:
     a = n.select(F.col("node_id").alias("source"), F.col("paper_id").alias("pa"))
     b = n.select(F.col("node_id").alias("target"), F.col("paper_id").alias("pb"))
     return both.join(a, "source").join(b, "target").select(F.col("source").alias("node_id"), F.col("target").alias("peer"), (~F.col("pa").eqNullSafe(F.col("pb"))).alias("other_paper"))
+
+
+def attributes_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(object, attribute, place): the attributes that eligible edges give an object, in their order."""
+    return _edges(nodes, edges, "has_attribute").select(F.col("source").alias("object"), F.col("target").alias("attribute"), F.col("edge_ord").alias("place"))
+
+
+def comparable_objects(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
+    """(attribute, object, place): for each attribute the first concepts that have one of its identity, or of more than half of its words.
+
+    Identity is an equality join; words are joined on a shared word first, so no pair without one is ever made."""
+    n = unique_nodes(nodes)
+    names = n.select(F.col("node_id").alias("attribute"), F.col("canonical_id").alias("identity"), R.token_set("content").alias("words"))
+    concepts = n.where("node_type = 'ConceptNode'").select(F.col("node_id").alias("object"), "node_ord")
+    held = attributes_of(nodes, edges).select("object", F.col("attribute").alias("other")).join(names.withColumnsRenamed({"attribute": "other", "identity": "same", "words": "others"}), "other").join(concepts, "object")
+    mine = anchors.select("attribute").distinct().join(names, "attribute")
+    equal = mine.where("identity is not null and identity != ''").join(held, F.col("identity") == F.col("same")).select("attribute", "object", "node_ord")
+    alike = mine.withColumn("w", F.explode("words")).join(held.withColumn("w", F.explode("others")), "w").where(F.size(F.array_intersect("words", "others")) > 0.5 * F.size(F.array_union("words", "others"))).select("attribute", "object", "node_ord")
+    both = equal.unionByName(alike).distinct().withColumn("place", F.row_number().over(Window.partitionBy("attribute").orderBy("node_ord", "object")))
+    return both.where(F.col("place") <= limit).select("attribute", "object", "place")
+
+
+def role_pool(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(plan, node_type, members): the candidates of each plan (plan, node_id) by node type, in their order."""
+    rows = members.join(unique_nodes(nodes).select("node_id", "node_type", "node_ord"), "node_id")
+    return rows.groupBy("plan", "node_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "node_id"))), lambda x: x["node_id"]).alias("members"))

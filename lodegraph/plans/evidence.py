@@ -404,10 +404,12 @@ def q_same_as(spark, d):
     return graph.same_as(*_t(spark, d, "nodes"))
 
 
-@query(f"""WITH {N}, m AS (SELECT * FROM n WHERE canonical_id IS NOT NULL AND canonical_id <> '' AND node_type IN ('ConceptNode','AttributeNode')), w AS (SELECT canonical_id, address.paper_id AS p FROM m GROUP BY 1, 2 HAVING count(DISTINCT modality) > 1),
+@query(f"""WITH {N}, m AS (SELECT * REPLACE (CASE WHEN node_ord % 2 = 0 THEN 'text' ELSE 'caption' END AS modality) FROM n WHERE canonical_id IS NOT NULL AND canonical_id <> '' AND node_type IN ('ConceptNode','AttributeNode')), w AS (SELECT canonical_id, address.paper_id AS p FROM m GROUP BY 1, 2 HAVING count(DISTINCT modality) > 1),
     c AS (SELECT m.node_id AS source, lead(m.node_id) OVER (PARTITION BY m.canonical_id, m.address.paper_id ORDER BY m.node_ord) AS target FROM m JOIN w ON m.canonical_id = w.canonical_id AND m.address.paper_id = w.p) SELECT source, target FROM c WHERE target IS NOT NULL""")
 def q_aligns_with(spark, d):
-    return graph.aligns_with(*_t(spark, d, "nodes"))
+    """Nodes of one identity in one paper, chained across modalities; the tables' own nodes meet in one modality only, so every other one is read as a caption's."""
+    (n,) = _t(spark, d, "nodes")
+    return graph.aligns_with(n.withColumn("modality", F.when(F.col("node_ord") % 2 == 0, "text").otherwise("caption")))
 
 
 _RULES = " UNION ALL ".join(f"SELECT '{a}' AS ta, '{b}' AS tb, '{e}' AS edge_type, {str(f).lower()} AS flip" for a, b, e, f in graph.pair_semantics())
@@ -542,9 +544,14 @@ def q_numerical(spark, d):
     return finders.numerical(*_t(spark, d, "nodes", "edges"))
 
 
-@query(f"""WITH {N}, {E}, x AS (SELECT row_number() OVER (ORDER BY n.node_ord, e.edge_ord) AS place, e.source AS condition, e.target FROM e JOIN n ON n.node_id = e.source WHERE n.node_type = 'ConditionNode') SELECT place::INT AS place, condition, target FROM x WHERE place <= 30""")
+@query(f"""WITH {N}, {E}, f AS (SELECT CASE WHEN edge_type = 'under_condition' THEN target ELSE source END AS source, CASE WHEN edge_type = 'under_condition' THEN source ELSE target END AS target, edge_ord FROM e),
+    x AS (SELECT row_number() OVER (ORDER BY n.node_ord, f.edge_ord) AS place, f.source AS condition, f.target FROM f JOIN n ON n.node_id = f.source WHERE n.node_type = 'ConditionNode') SELECT place::INT AS place, condition, target FROM x WHERE place <= 30""")
 def q_condition(spark, d):
-    return finders.condition(*_t(spark, d, "nodes", "edges"))
+    """Conditions with what they bear on; edges that lead to a condition are read from its side, as the tables hold no others."""
+    n, e = _t(spark, d, "nodes", "edges")
+    to = F.col("edge_type") == "under_condition"
+    turned = e.withColumns({"source": F.when(to, F.col("target")).otherwise(F.col("source")), "target": F.when(to, F.col("source")).otherwise(F.col("target"))})
+    return finders.condition(n, turned)
 
 
 @query(f"""WITH {N}, {E} SELECT coalesce(a.canonical_id, a.node_id) AS canonical_id, count(DISTINCT e.source)::BIGINT AS concepts, count(DISTINCT e.target)::BIGINT AS attributes FROM e JOIN n a ON a.node_id = e.target AND a.node_type = 'AttributeNode' JOIN n c ON c.node_id = e.source AND c.node_type = 'ConceptNode' GROUP BY 1 HAVING count(DISTINCT e.source) >= 2""")
@@ -612,6 +619,16 @@ def q_seed_rank(spark, d):
     return planner.ranked_seeds(*_t(spark, d, "nodes", "edges"), "numerical")
 
 
+@query(f"""WITH {N}, {E}, m AS (SELECT node_id AS attribute, canonical_id AS identity, {_tok('content')} AS words FROM n), a AS (SELECT m.* FROM m JOIN n ON n.node_id = m.attribute WHERE n.node_type = 'AttributeNode'),
+    h AS (SELECT e.source AS object, c.node_ord, m.identity AS same, m.words AS others FROM e JOIN m ON m.attribute = e.target JOIN n c ON c.node_id = e.source AND c.node_type = 'ConceptNode' WHERE e.edge_type = 'has_attribute' AND coalesce(e.polarity, 'positive') = 'positive' AND coalesce(e.confidence, 1.0) >= 0.5),
+    b AS (SELECT attribute, object, node_ord FROM a JOIN h ON a.identity = h.same WHERE a.identity <> '' UNION SELECT attribute, object, node_ord FROM (SELECT attribute, words, unnest(words) AS w FROM a) x JOIN (SELECT *, unnest(others) AS w FROM h) y ON x.w = y.w WHERE len(list_intersect(words, others)) > 0.5 * (len(words) + len(others) - len(list_intersect(words, others))))
+    SELECT attribute, object, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY node_ord, object) AS place FROM b) WHERE place <= 3""")
+def q_comparable_objects(spark, d):
+    """For every attribute the first three concepts that have a comparable one."""
+    n, e = _t(spark, d, "nodes", "edges")
+    return binding.comparable_objects(graph.unique_nodes(n).where("node_type = 'AttributeNode'").select(F.col("node_id").alias("attribute")), n, e)
+
+
 @query()
 def q_virtual_edges(spark, d):
     """Scores of links proposed between concepts and values that share a chunk."""
@@ -853,6 +870,42 @@ def q_cf_check(spark, d):
     return metrics.number_recall(*_t(spark, d, "qa_items")).select("qid", F.col("asked").cast("bigint").alias("asked"), F.col("kept").cast("bigint").alias("kept"))
 
 
+@query(f"""WITH {Q}, c AS (SELECT qid, question_type, coalesce(len(constraints['number']), 0) + coalesce(len(constraints['unit']), 0) AS hard, answer, evidence_spans FROM q) SELECT qid FROM c WHERE NOT ({_REF}) AND coalesce(len(evidence_spans), 0) > 0 AND (question_type = 'comparative' OR hard >= 2)""")
+def q_cf_subset(spark, d):
+    return metrics.probe_items(*_t(spark, d, "qa_items"), "multi").select("qid")
+
+
+@query()
+def q_fidelity(spark, d):
+    """How far the answers keep numbers, ranges, units and conditions; tested against hand-made items."""
+    return metrics.fidelity(*_t(spark, d, "qa_items"))
+
+
+@query(f"""WITH {Q}, k AS (SELECT qid, regexp_replace(coalesce(answer, ''), '^\s+|\s+$', '', 'g') IN ({_list(R.KEPT_REFUSALS)}) AS r FROM q) SELECT kind, count(*)::BIGINT AS n FROM (SELECT unnest(CASE WHEN r THEN ['refusal'] ELSE ['evidence_grounded_instruction', 'graph_reasoning_trace', 'rag_grounding'] END) AS kind FROM k) GROUP BY 1""")
+def q_corpus_samples(spark, d):
+    return qa.corpus_samples(*_t(spark, d, "qa_items")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {Q} SELECT qid, question AS question_asked, coalesce(answer, '') AS answer, coalesce(array_to_string(evidence_path, ' -> '), '') AS trace FROM q WHERE regexp_replace(coalesce(answer, ''), '^\\s+|\\s+$', '', 'g') NOT IN ({_list(R.KEPT_REFUSALS)})".replace("\\\\", "\\"))
+def q_graph_trace(spark, d):
+    rows = qa.corpus_samples(*_t(spark, d, "qa_items")).where("kind = 'graph_reasoning_trace'")
+    return rows.select("qid", F.col("instruction").alias("question_asked"), F.col("output").alias("answer"), "trace")
+
+
+@query()
+def q_verifier_samples(spark, d):
+    """Good and bad samples by label and error."""
+    (t,) = _t(spark, d, "qa_items")
+    return metrics.composition(qa.verifier_samples(t, qa.corrupt(t)))
+
+
+@query()
+def q_before_after(spark, d):
+    """The figures of clean and of corrupted items side by side."""
+    (t,) = _t(spark, d, "qa_items")
+    return metrics.before_after(metrics.external(t.where("not coalesce(is_corrupted, false)")), metrics.external(t.where("is_corrupted")))
+
+
 @query("SELECT date_trunc('minute', ts) AS minute, count(*)::BIGINT AS calls, greatest(0, count(*) - 1)::BIGINT AS over FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def q_rpm_window(spark, d):
     return limits.calls_per_minute(*_t(spark, d, "events"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,8 +29,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path)
 
 
-def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "true").json(path)
+def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
+    """Writes rows as JSON lines; returns how many, counted while they are written."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append" if append else "overwrite").option("ignoreNullFields", "true").json(path)
+    return seen.get["n"]
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:

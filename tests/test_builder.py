@@ -149,3 +149,38 @@ def test_samples(spark):
     got = {(r["qid"], r["kind"]): r for r in qa.corpus_samples(df).collect()}
     assert set(got) == {("a", "evidence_grounded_instruction"), ("a", "graph_reasoning_trace"), ("a", "rag_grounding"), ("b", "refusal")}
     assert got["a", "graph_reasoning_trace"]["trace"] == "a -> b" and got["a", "rag_grounding"]["contexts"] == ["It carries 500000 kPa."] and got["b", "refusal"]["input"] == "[n] (p/s/c) It carries 500000 kPa."
+
+
+def test_documents_and_reports(spark, tmp_path):
+    from lodegraph.functions import prompts
+    from lodegraph.sources import documents, files, reports
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, content in (("a.pdf", b"TITLE OF IT|some text"), ("deep/b.pdf", b"broken"), ("deep/c.pdf", b"worse"), ("d.txt", b"x")):
+        (tmp_path / "in" / name).write_bytes(content)
+    docs = documents.scan_documents(spark, str(tmp_path / "in"))
+    assert [r["title"] for r in docs.collect()] == ["a", "b", "c"]
+
+    def primary(content):
+        if b"|" not in content:
+            raise ValueError("no layout")
+        return [{"type": "text", "text": t} for t in content.decode().split("|")]
+
+    def fallback(content):
+        return [{"type": "text", "text": {b"broken": "A TITLE"}[content]}]
+
+    items, status = documents.orchestrated(files.read_files(spark, str(tmp_path / "in")), primary, fallback)
+    assert sorted((r["text"], r["text_level"]) for r in items.collect()) == [("A TITLE", 1), ("TITLE OF IT", None), ("some text", None)]
+    assert sorted(r["parsing_status"] for r in status.collect()) == ["failed", "low_quality", "parsed"]
+    assert documents.scan_parsed(spark, str(tmp_path / "none"), "paper string").isEmpty() and not documents.parser_available("no-such-parser")
+    df = spark.createDataFrame([("m", 0.5), ("n|o", None)], "metric string, value double")
+    reports.write_report("Run", {"Figures": df}, str(tmp_path / "out" / "r.md"))
+    assert "| n\\|o | - |" in (tmp_path / "out" / "r.md").read_text() and (tmp_path / "out" / "r.json").exists()
+    assert files.write_jsonl(df, str(tmp_path / "rows")) == 2
+    pools = spark.createDataFrame([("a", "benchmark"), ("b", "human_review")], "qid string, pool string")
+    got = reports.export_run(pools, pools.select("qid"), df, df.limit(1), str(tmp_path / "run"))
+    assert got == {"pools": {"benchmark": 1, "human_review": 1}, "graph": {"nodes": 2, "edges": 1}}
+    row = df.select(prompts.render("{{x}} {m} is {v}.", {"m": F.col("metric"), "v": F.col("value")}).alias("p"), prompts.instruction(F.lit("nope")).alias("i")).first()
+    assert row["p"] == "{x} m is 0.5." and row["i"] == prompts.INSTRUCTIONS["atomic"]
+    turns = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, "user", "c"), (2, 0, "user", "x"), (2, 1, "user", "y")], "conv_id long, turn long, role string, text string")
+    assert [[m["text"] for m in r["messages"]] for r in prompts.messages(turns).collect()] == [["a", "b", "c"]]
