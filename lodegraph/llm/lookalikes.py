@@ -105,6 +105,7 @@ class Confusables:
 
     def latin(self, token: str) -> str:
         """The Latin spelling of a token that can have one, else the token."""
+        token = "".join(self.within.get(c, c) for c in token) if len(token) > 1 else token
         letters = [c for c in token if c.isalpha()]
         return self.spell(token, "LATIN") if len(token) > 1 and letters and all("LATIN" in self.scripts(c) for c in letters) else token
 
@@ -133,7 +134,7 @@ def forms(text: str | None, table: Confusables) -> tuple[str | None, str | None]
         around = max(rest, key=lambda s: (rest[s], s)) if rest else None
         form = table.resolve(part, around)
         out.append(form)
-        other.append(table.latin(form) if around is None else form)
+        other.append(table.latin(part) if around is None else form)
     form, latin = (unicodedata.normalize("NFC", "".join(x)) or None for x in (out, other))
     return form, latin if latin != form else None
 

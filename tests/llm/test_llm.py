@@ -211,6 +211,7 @@ def test_any_script_is_resolved(spark, seen, form):
     table = lookalikes.Confusables(lookalikes.published(spark))
     assert lookalikes.one_form(seen, table) == form
     assert lookalikes.forms("РСE", table)[1] == lookalikes.forms("РСЕ", table)[1] == "PCE"
+    assert lookalikes.forms("Тrаlѕоіԁе", table)[1] == "Tralsoide"  # letters that another script writes in another case
 
 
 def test_other_rows_decide_a_word_without_context(spark):
