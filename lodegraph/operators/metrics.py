@@ -124,6 +124,13 @@ def fidelity(qa: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     return rows.select("qid", "cf_hard", "cf_unit", "cf_all", F.size("nums").alias("n_hard"), F.coalesce(F.col("cf_hard") < 1, F.lit(False)).alias("violation"))
 
 
+def number_recall(qa: DataFrame) -> DataFrame:
+    """(qid, asked, kept, recall): constraint numbers and ranges that the item's own answer reproduces."""
+    rows = Q.items(qa).select("qid", _list("number").alias("wanted"), R.numbers("answer").alias("said")).where(F.size("wanted") > 0)
+    kept = F.size(F.filter("wanted", lambda w: R.reproduced(w, F.col("said"))))
+    return rows.select("qid", F.size("wanted").alias("asked"), kept.alias("kept"), (kept / F.size("wanted")).alias("recall"))
+
+
 def fidelity_by_model(cells: DataFrame) -> DataFrame:
     """(model, n, means, violation_rate, false_accept_rate) of (model, cf_hard, cf_unit, cf_all, violation, judge_overall, judge_faithfulness): a violation that the judge gives 4 or more is falsely accepted."""
     mean = lambda c: F.round(F.avg(c), 3).alias(f"{c}_mean")
