@@ -42,12 +42,14 @@ from pyspark.sql import functions as F
 from lodegraph.session import cut_lineage
 
 T = 0.7
-BITS = 128
-DEVIATIONS = 5.5
+BITS = 256
+DEVIATIONS = 5
 SHARE = 2
 LEAVES, COUNTERS, COPIES = 8_192, 1 << 21, 64
 #: A gram is rare in at most RARE classes, or this share of all of them, up to LEAVES.
 RARE, RARE_SHARE = 256, 1 / 400
+#: Up to so many candidate pairs their classes are looked up by a broadcast of at most 32 bytes for each, beyond by a shuffle.
+SMALL = 300_000
 #: Counters travel to the driver in parts of so many.
 PART = 1 << 16
 #: So many pairs of nodes go down together.
@@ -247,9 +249,9 @@ def gram_counts(classes: DataFrame, width: int) -> np.ndarray:
 
 
 def leaves(classes: DataFrame, counts: np.ndarray, rare: int, t: float = T) -> DataFrame:
-    """(key, part, s1, s2, w0..): one row per class and trie, or trie block pair."""
+    """(key, part, size, s1, s2, w0..): one row per class and trie, or trie block pair."""
     held = classes.sparkSession.sparkContext.broadcast(counts)
-    names = ["key", "part", "s1", "s2", *(f"w{i}" for i in range(WORDS))]
+    names = ["key", "part", "size", "s1", "s2", *(f"w{i}" for i in range(WORDS))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,15 +262,15 @@ def leaves(classes: DataFrame, counts: np.ndarray, rare: int, t: float = T) -> D
                 for key, most in prefix_keys(grams, held.value, rare, t):
                     blocks = -(-most // LEAVES)
                     if blocks == 1:
-                        rows.append((key, 0, s1, s2, *path))
+                        rows.append((key, 0, len(grams), s1, s2, *path))
                     else:
                         mine = s2 % blocks
                         for other in range(blocks):
                             low, high = min(mine, other), max(mine, other)
-                            rows.append((key, low * blocks + high, s1, s2, *path))
+                            rows.append((key, low * blocks + high, len(grams), s1, s2, *path))
             yield pd.DataFrame(rows, columns=names)
 
-    return classes.mapInPandas(run, "key bigint, part int, s1 bigint, s2 bigint, " + ", ".join(f"w{i} bigint" for i in range(WORDS)))
+    return classes.mapInPandas(run, "key bigint, part int, size int, s1 bigint, s2 bigint, " + ", ".join(f"w{i} bigint" for i in range(WORDS)))
 
 
 def candidates(rows: DataFrame, t: float = T) -> DataFrame:
@@ -294,6 +296,9 @@ def candidates(rows: DataFrame, t: float = T) -> DataFrame:
         paths = np.ascontiguousarray(b[parts].to_numpy(dtype=np.int64)).view(np.uint64)
         s1, s2 = b["s1"].to_numpy(), b["s2"].to_numpy()
         i, j = walk(keys, paths, budget)
+        size = b["size"].to_numpy().astype(np.int64)
+        fit = np.minimum(size[i], size[j]) * 1000 >= np.maximum(size[i], size[j]) * round(t * 1000)  # sets of too unlike sizes can't match
+        i, j = i[fit], j[fit]
         swap = (s1[i] > s1[j]) | ((s1[i] == s1[j]) & (s2[i] > s2[j]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         out = pd.DataFrame({"a1": s1[i], "a2": s2[i], "b1": s1[j], "b2": s2[j]})
@@ -310,7 +315,9 @@ def class_pairs(classes: DataFrame, t: float = T) -> DataFrame:
     rare = min(LEAVES, max(RARE, int(size["n"] * RARE_SHARE)))
     found = cut_lineage(candidates(leaves(classes, gram_counts(classes, width), rare, t), t))  # read twice below
     ends = found.select(F.explode(F.array(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")))).alias("e")).select("e.s1", "e.s2").distinct()
-    held = classes.join(ends, ["s1", "s2"], "left_semi")  # only their grams travel
+    if found.count() <= SMALL:
+        ends = F.broadcast(ends)  # so the classes needn't be shuffled to be looked up
+    held = cut_lineage(classes.join(ends, ["s1", "s2"], "left_semi"))  # only their grams travel, and only once
     a = held.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("grams").alias("ga"))
     b = held.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))

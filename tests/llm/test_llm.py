@@ -150,7 +150,7 @@ def test_trie_walk_matches_all_pairs(monkeypatch):
 
 def test_walk_drops_pairs_above_the_budget_of_their_depth():
     """Two leaves whose first 32 bits all differ are dropped on the way, however alike the rest is."""
-    paths = np.array([[0, 0], [0xFFFFFFFF << 32, 0], [1, 0]], dtype=np.uint64)
+    paths = np.array([[0] * 4, [0xFFFFFFFF << 32, 0, 0, 0], [1, 0, 0, 0]], dtype=np.uint64)
     i, j = neardup.walk(np.zeros(3, dtype=np.int64), paths, neardup.error_budget())
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(0, 2)}
 
