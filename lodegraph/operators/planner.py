@@ -242,6 +242,11 @@ PLAN = "seed string, seed_place int, roles string, nodes array<string>, difficul
 BOUND = 40
 
 
+#: Question types whose roles are bound along edges or cells; comparable objects need the same facts.
+BINDING = ("comparative", "cross_paper", "numerical", "formula")
+FACTS = "node string, attrs array<struct<attribute:string,value:string>>, columns array<struct<column:string,cell:string>>, row string, unit string, peer string, result string"
+
+
 def binding_facts(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, attrs, columns, row, unit, peer, result) of every node of ``ids`` (node): what bindings may bring into a plan, the first BOUND of each."""
     chains = binding.values_via_attribute(nodes, edges).join(ids.select(F.col("node").alias("object")), "object", "left_semi")
@@ -272,11 +277,12 @@ def plan(nodes: DataFrame, edges: DataFrame, kind: str, per_type: int = 12, tau:
     facts = gate(nodes).select(F.col("node_id").alias("node"), "node_type", "ok", R.either("normalized_content", "content").alias("name"), F.coalesce("canonical_id", F.lit("")).alias("canonical"), F.coalesce("address.chunk_id", F.lit("")).alias("chunk"), F.coalesce("address.span", F.lit("")).alias("span"), F.coalesce("address.section_path", F.lit("")).alias("section"), F.coalesce("address.paper_id", F.lit("")).alias("paper"))
     own = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node"), F.lit(0).alias("r"))
     base = cut_lineage(candidates(nodes, edges, seeds).where("seed != node").select("seed", "node", "r").unionByName(own))
-    ids = base.select("node").distinct()
-    if use_binding:
+    if use_binding and kind in BINDING:
+        ids = base.select("node").distinct()
         peers = binding.peers(nodes, same_as(nodes)).where("other_paper").select(F.col("node_id").alias("node"), F.col("peer")).join(ids, "node", "left_semi").select(F.col("peer").alias("node"))
-        ids = ids.unionByName(peers).distinct()
-    bound = cut_lineage(binding_facts(nodes, edges, ids if use_binding else ids.limit(0)))
+        bound = cut_lineage(binding_facts(nodes, edges, ids.unionByName(peers).distinct()))
+    else:
+        bound = nodes.sparkSession.createDataFrame([], FACTS)
     brought = F.array_compact(F.concat(F.array("row", "unit", "peer", "result"), *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("attrs.attribute", "attrs.value", "columns.column", "columns.cell")]))
     one = base.join(bound.select("node", F.explode(brought).alias("other")), "node").select("seed", F.col("other").alias("node"))
     two = one.join(bound.select("node", F.explode(F.array_compact(F.array("result", "unit"))).alias("other")), "node").select("seed", F.col("other").alias("node"))

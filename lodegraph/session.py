@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -33,7 +34,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodegraph-ckpt-"))
+    if named is None:
+        named = tempfile.mkdtemp(prefix="lodegraph-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
