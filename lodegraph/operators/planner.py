@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import rules as R
 from lodegraph.operators import binding
-from lodegraph.operators.graph import chunk_mates, degrees, downward_walk, gate, present_edges, same_as, upward_locate
+from lodegraph.operators.graph import chunk_mates, degrees, downward_walk, gate, present_edges, same_as, unique_nodes, upward_locate
 from lodegraph.operators.overlay import Overlay
 from lodegraph.session import cut_lineage
 
 LIMIT = 120
+#: So many chunks of a seed's section are candidates.
+SECTION_CHUNKS = 6
 # Seed weights by node type.
 SEED_LEVEL = {"ClaimNode": 1.0, "MethodNode": 0.95, "ConceptNode": 0.9, "AttributeNode": 0.7, "SectionNode": 0.6, "EquationNode": 0.55, "FigureNode": 0.5, "TableNode": 0.5, "ConditionNode": 0.45, "ValueNode": 0.3, "UnitNode": 0.1}
 # The roles of each question type.
@@ -138,12 +140,15 @@ def ranked_seeds(nodes: DataFrame, edges: DataFrame, kind: str, k: int = 48, his
 
 
 def candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node, phase, place): the evidence below, above and beside each seed, at most LIMIT, nearest first."""
+    """(seed, node, phase, place): the evidence below, above and beside each seed, then the first chunks of its section, at most LIMIT, nearest first."""
     s = seeds.select("node_id")
     down = downward_walk(nodes, edges, s).select(F.col("start").alias("seed"), "node", F.lit(0).alias("phase"), F.col("place").cast("bigint").alias("place"))
     up = upward_locate(nodes, edges, s).select(F.col("start").alias("seed"), F.posexplode("chain").alias("place", "node")).select("seed", "node", F.lit(1).alias("phase"), F.col("place").cast("bigint").alias("place"))
     mates = chunk_mates(nodes).join(s, "node_id", "left_semi").select(F.col("node_id").alias("seed"), F.col("mate").alias("node"), F.lit(2).alias("phase"), F.col("place").cast("bigint").alias("place"))
-    rows = down.unionByName(up).unionByName(mates).groupBy("seed", "node").agg(F.min(F.struct("phase", "place")).alias("at"))
+    n = unique_nodes(nodes).select("node_id", "node_type", "node_ord", F.col("address.paper_id").alias("paper"), F.col("address.section_path").alias("section")).where("paper is not null and section is not null")
+    first = n.where("node_type = 'ChunkNode'").withColumn("place", F.row_number().over(Window.partitionBy("paper", "section").orderBy("node_ord"))).where(F.col("place") <= SECTION_CHUNKS).select("paper", "section", F.col("node_id").alias("node"), F.col("place").cast("bigint").alias("place"))
+    section = n.join(s, "node_id", "left_semi").select(F.col("node_id").alias("seed"), "paper", "section").join(first, ["paper", "section"]).select("seed", "node", F.lit(3).alias("phase"), "place")
+    rows = down.unionByName(up).unionByName(mates).unionByName(section).groupBy("seed", "node").agg(F.min(F.struct("phase", "place")).alias("at"))
     w = Window.partitionBy("seed").orderBy("at", "node")
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= LIMIT).select("seed", "node", "at.phase", "at.place", "r")
 
