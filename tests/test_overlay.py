@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators import binding
+from lodegraph.operators import binding, graph, planner
+from lodegraph.sources.tables import table
 
 NODE = "node_id string, node_type string, content string, normalized_content string, address struct<paper_id:string,section_path:string,chunk_id:string,span:string>, modality string, confidence double, domain_schema_tag string, canonical_id string, node_ord bigint, ingested_at timestamp"
 EDGE = "source string, target string, edge_type string, confidence double, polarity string, edge_ord bigint, ingested_at timestamp"
@@ -46,3 +47,36 @@ def test_comparable_objects_of_many_alike_attributes(spark):
     got = comparable(spark, [node(f"a{i}", "AttributeNode", "peak load ratio", i) for i in range(n)] + [node(f"c{i}", "ConceptNode", "rod", i) for i in range(n)], [(f"c{i}", f"a{i}", "has_attribute", 1.0, "positive", i, None) for i in range(n)])
     assert got.groupBy("object", "place").count().orderBy("place").collect() == [("c0", 1, n), ("c1", 2, n), ("c2", 3, n)]
     assert time.time() - began < 30
+
+
+def test_walks_of_few_equal_the_joins(spark):
+    draw = random.Random(5)
+    kinds = ["ChunkNode", "ConceptNode", "AttributeNode", "ValueNode", "UnitNode", "SectionNode"]
+    n = spark.createDataFrame([node(f"n{i:03}", draw.choice(kinds), "x", i) for i in range(150)], NODE)
+    pairs = {(f"n{draw.randrange(150):03}", f"n{draw.choice((draw.randrange(150), 7, 8)):03}") for _ in range(600)} | {("n007", f"n{i:03}") for i in range(120)}
+    e = spark.createDataFrame([(a, b, draw.choice(["contains", "compares", "has_value"]), 1.0, "positive", draw.choice([None, *range(30)]), None) for a, b in sorted(pairs)], EDGE)
+    starts = [f"n{i:03}" for i in range(0, 150, 9)] + ["n007"]
+    s = spark.createDataFrame([(x,) for x in starts], "node_id string")
+    down, up = graph.walks_of_few(graph.clean(graph.leveled_edges(n, e)), starts)
+    want = graph.downward_walk(n, e, s).select("start", "node", "place").collect()
+    assert sorted(down) == sorted(map(tuple, want)) and max(p for _, _, p in down) == 40
+    assert sorted(up) == sorted((r["start"], x, i) for r in graph.upward_locate(n, e, s).collect() for i, x in enumerate(r["chain"]))
+
+
+def test_surroundings_hold_what_bindings_ask(spark):
+    n, e = (table(spark, "/root/testdata/sf0.001", t) for t in ("nodes", "edges"))
+    ids = n.where("node_ord % 40 = 3 and node_type in ('ConceptNode', 'ValueNode', 'AttributeNode')").select("node_id").distinct().cache()
+    links = graph.cut_lineage(graph.same_as(n).select("source", "target"))
+    asked = ids.select(F.col("node_id").alias("node"))
+    near, around = graph.surroundings(n, e, ids, planner.members(n, ids).unionByName(links.select(F.explode(F.array("source", "target")).alias("node_id"))))
+    got, want = (planner.binding_facts(*tables, asked, links).collect() for tables in ((near, around), (n, e)))
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 5
+
+
+def test_plans_bind_over_the_surroundings_of_their_candidates(spark, monkeypatch):
+    """Facts were joined over the whole graph, whose size then decided how long twelve plans took."""
+    seen, facts = [], planner.binding_facts
+    monkeypatch.setattr(planner, "binding_facts", lambda nodes, edges, *more: seen.append((nodes.count(), edges.count())) or facts(nodes, edges, *more))
+    n, e = (table(spark, "/root/testdata/sf0.1", t) for t in ("nodes", "edges"))
+    assert planner.plan(n, e, "comparative").count() == 12
+    assert seen[0][0] < 0.5 * n.count() and seen[0][1] < 0.5 * e.count()
